@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, token_output
+from . import best_fit, byte_bpe, token_output, toxicity
 from .common import documents
 
 
@@ -18,9 +18,19 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_documents(documents(spark, sf_dir))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(documents(spark, sf_dir))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_output": op4_token_output,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_toxicity": op9_toxicity,
 }
 
 #: None of these has an equal in SQL over whole tables; tests/llm holds their brute-force versions.

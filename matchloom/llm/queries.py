@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, byte_bpe, quality, simhash, token_output, toxicity
+from . import best_fit, byte_bpe, exact_topk, quality, secret_scan, simhash, token_output, toxicity
 from .common import documents
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(documents(spark, sf_dir)))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.packed_sequences(documents(spark, sf_dir))
 
@@ -37,6 +45,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_topk": op1_exact_topk,
+    "op2_secret_scan": op2_secret_scan,
     "op4_token_output": op4_token_output,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_simhash": op6_simhash,
@@ -45,5 +55,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
 }
 
-#: None of these has an equal in SQL over whole tables; tests/llm holds their brute-force versions.
-ORACLE: dict[str, str] = {}
+_TOPK_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_dot_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
+), r as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
+#: The others have no equal in SQL over whole tables; tests/llm holds their brute-force versions.
+ORACLE: dict[str, str] = {"op1_exact_topk": _TOPK_SQL}

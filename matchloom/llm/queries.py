@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, byte_bpe, exact_topk, quality, secret_scan, simhash, token_output, toxicity
+from . import best_fit, byte_bpe, exact_topk, quality, secret_scan, simhash, suffix_dedup, token_output, toxicity
 from .common import documents
 
 
@@ -19,6 +19,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(documents(spark, sf_dir)))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.packed_sequences(documents(spark, sf_dir))
 
@@ -47,6 +51,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_secret_scan": op2_secret_scan,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_output": op4_token_output,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_simhash": op6_simhash,

@@ -127,10 +127,11 @@ def _ratio(token: Column, table: list[float], k: int) -> Column:
 
 
 def scan(docs: DataFrame, model: tuple[list[float], int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, base array<span>, spans array<span>): rule spans, and all spans in order of start and kind."""
+    """(doc_id, text, rest, base array<span>, spans array<span>): rule spans, and all spans in order of start and kind; rest: the other columns."""
     table, k = model or train(labelled_sample(docs.sparkSession))
     text = F.col("text")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(text_col).alias("text"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)] or [F.lit(None).alias("none")]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(text_col).alias("text"), F.struct(*others).alias("rest"))
     for name, *rule in ((kind, kind, pattern, group, least) for kind, pattern, group, least in RULES):
         rows = rows.withColumn(name, _spans(text, *rule))
     rows = rows.withColumn("base", F.array_sort(F.concat(*[F.col(kind) for kind, *_ in RULES])))
@@ -138,7 +139,7 @@ def scan(docs: DataFrame, model: tuple[list[float], int] | None = None, id_col:
     clear = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
     random = lambda t: _ratio(F.substring(text, t["start"] + 1, t["end"] - t["start"]), table, k) > RATIO
     rows = rows.withColumn("markov", F.filter("tokens", lambda t: clear(t) & random(t)))
-    return rows.select("doc_id", "text", "assign", "access", "hex", "base", F.array_sort(F.concat("base", "markov")).alias("spans"))
+    return rows.select("doc_id", "text", "rest", "assign", "access", "hex", "base", F.array_sort(F.concat("base", "markov")).alias("spans"))
 
 
 def span_list(spans: str) -> Column:
@@ -152,7 +153,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def masked(found: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """(doc_id, text) with every span, overlapping ones merged, replaced by ``mask``."""
+    """(doc_id, text, rest) with every span, overlapping ones merged, replaced by ``mask``."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -163,4 +164,4 @@ def masked(found: DataFrame, mask: str = "[secret]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), text.alias("out"))
 
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text")))
-    return found.select("doc_id", F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col("text")).alias("text"))
+    return found.select("doc_id", F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col("text")).alias("text"), "rest")

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize
+from .common import materialize, small_batches, text_column
 from .simhash import whole_runs
 
 LENGTH = 400
@@ -214,22 +214,29 @@ def _unpack(place: int) -> tuple[int, int]:
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, id, tag, text): what identifies a row; tag tells apart different texts that share an id."""
-    return id_and_text(docs).select("doc_id", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.xxhash64("text").bitwiseAND(0x7FFF).alias("tag"), "text")
+    """(doc_id, id, tag, text, rest): what identifies a row, and the other columns; tag tells apart different texts that share an id."""
+    small_batches(docs.sparkSession)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(None).cast("int").alias("none")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"), F.struct(*others).alias("rest"))
+    return rows.select("doc_id", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.xxhash64("text").bitwiseAND(0x7FFF).alias("tag"), "text", "rest")
 
 
 def _packed(texts: DataFrame) -> DataFrame:
-    """Compress the texts before they are shuffled."""
+    """Compress the texts before they are shuffled: ``text`` becomes ``z``."""
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    at = texts.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            data = [press.compress(t.as_py()) for t in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), batch.column("tag"), pa.array(data, pa.binary())], names=["doc_id", "id", "tag", "z"])
+            data = pa.array([press.compress(t.as_py()) for t in batch.column(at).cast(pa.binary())], pa.binary())
+            names = [n if k != at else "z" for k, n in enumerate(batch.schema.names)]
+            yield pa.RecordBatch.from_arrays([c if k != at else data for k, c in enumerate(batch.columns)], names=names)
 
-    return texts.mapInArrow(run, "doc_id long, id long, tag long, z binary")
+    return texts.mapInArrow(run, StructType([f if f.name != "text" else StructField("z", BinaryType()) for f in texts.schema.fields]))
 
 
 def repeated_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -245,7 +252,7 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         F.struct("kh", "ch", F.col("first.place").alias("place"), (F.col("n") > 1).alias("known"), (F.col("n_contexts") > HOT_CONTEXTS).alias("hot")).alias("r"),
     )
     asked = wanted.groupBy("id", "tag").agg(F.collect_list("r").alias("rs"))  # of one document: bounded by its length
-    copies = _packed(texts).drop("doc_id").dropDuplicates(["id", "tag"])
+    copies = _packed(texts.select("id", "tag", "text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -344,12 +351,16 @@ def whole_characters(data: bytes, gone: np.ndarray) -> np.ndarray:
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """Per document: n_bytes, n_removed, n_spans, kept_sha256; ``with_text`` adds what is left as text (whole characters only)."""
+    """Per document: n_bytes, n_removed, n_spans, kept_sha256; ``with_text`` adds what is left as text (whole characters only) and the other columns as rest."""
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
     if length % PERIOD or length < 2 * PERIOD or not 0 < gram < length:
         raise ValueError(f"length must be a multiple of {PERIOD} from {2 * PERIOD} on, and gram shorter than it")
     texts = keyed_texts(docs)
     marks = repeated_runs(texts, length, gram)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
+    fields = [StructField(n, LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [StructField("kept_sha256", StringType())]
+    if with_text:
+        fields += [StructField("text", StringType()), texts.schema["rest"]]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -358,17 +369,19 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
         for batch in batches:
             rows = []
             for doc, z, own in zip(batch.column("doc_id").to_pylist(), batch.column("z"), batch.column("marks").to_pylist(), strict=True):
-                data = unpress.decompress(z.as_py()) if z.as_py() else b""
+                data = unpress.decompress(z.as_py())
                 gone = removed_bytes(len(data), own, length)
-                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                whole = np.frombuffer(data, np.uint8)
                 spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                row = (doc, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+                row = (doc, len(data), int(gone.sum()), spans, hashlib.sha256(whole[~gone].tobytes()).hexdigest())
                 if with_text:
-                    row += (np.frombuffer(data, np.uint8)[~whole_characters(data, gone)].tobytes().decode("utf-8", "replace") if spans else data.decode("utf-8", "replace"),)
+                    row += ((whole[~whole_characters(data, gone)].tobytes() if spans else data).decode("utf-8", "replace"),)
                 rows.append(row)
+            columns = list(zip(*rows, strict=True)) or [()] * (5 + with_text)
             types = [pa.int64()] * 4 + [pa.string()] * (1 + with_text)
-            columns = list(zip(*rows, strict=True)) or [()] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
+            rest = [batch.column("rest")] if with_text else []
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), *rest], names=[f.name for f in fields])
 
-    joined = _packed(texts).join(marks, ["id", "tag"], "left").select("doc_id", "z", "marks")
-    return joined.mapInArrow(apply, schema)
+    carried = ["doc_id", "id", "tag", "text"] + ["rest"] * with_text
+    joined = _packed(texts.select(*carried)).join(marks, ["id", "tag"], "left").select("doc_id", "z", "marks", *["rest"] * with_text)
+    return joined.mapInArrow(apply, StructType(fields))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, small_batches
 from .tokens import slices
 
 BUCKET_BITS = 19
@@ -199,35 +199,56 @@ def held_out(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string")) % 3 == 1
 
 
+class _Scorer:
+    """Scores of texts, with a bounded cache of word scores."""
+
+    def __init__(self, model: ToxicityModel | None):
+        self.model, self.known = model, {}
+
+    def __call__(self, text: str) -> float:
+        if self.model is None:
+            return 0.0
+        known = self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        words = words_of(text)
+        scores = list(map(known.get, words))
+        if None in scores:
+            for k, s in enumerate(scores):
+                if s is None:
+                    if (w := words[k]) not in known:
+                        known[w] = self.model.word_score(w)
+                    scores[k] = known[w]
+        return self.model.probability(self.model.window_logits(np.array(scores)).max())
+
+
 def score(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        scorer = _Scorer(model)
         for batch in batches:
             for lo, hi in slices(batch.column("text")):
-                out = []
-                for text in batch.column("text").slice(lo, hi - lo).to_pylist():
-                    if model is None:
-                        out.append(0.0)
-                        continue
-                    if len(known) > CACHE_WORDS:
-                        known.clear()
-                    words = words_of(text)
-                    scores = list(map(known.get, words))
-                    if None in scores:
-                        for k, s in enumerate(scores):
-                            if s is None:
-                                if (w := words[k]) not in known:
-                                    known[w] = model.word_score(w)
-                                scores[k] = known[w]
-                    out.append(model.probability(model.window_logits(np.array(scores)).max()))
+                out = [scorer(text) for text in batch.column("text").slice(lo, hi - lo).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
     scored = id_and_text(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that the model does not reject."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer(t.as_py() or "") < THRESHOLD for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on the labelled rows of ``docs`` and score all of it."""
     return score(docs, train(*labelled_sample(docs, labels)))

@@ -1,10 +1,261 @@
-"""The linkage queries and their SQL."""
+"""The linkage queries and the DuckDB SQL of each."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from matchloom import oracle as O
+from matchloom.functions import text as T
+from matchloom.operators import blocking as B
+from matchloom.operators import checks, evaluation, features, records
+from matchloom.plans.fixtures import er_records
+
+#: Small enough that the pruning and the fallback bind on the test tables.
+PRUNING = {"max_df": 3, "fallback_df": 30}
+K = 5
+THRESHOLD = 0.35
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.prepare(er_records(spark, sf_dir))
+
+
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.with_keys(_prepared(spark, sf_dir)).persist()
+
+
+def _pairs(keyed: DataFrame) -> DataFrame:
+    return B.candidates(keyed, K, K, **PRUNING).persist()
+
+
+def _gold(prepared: DataFrame) -> DataFrame:
+    left = prepared.where("is_ref and name_core <> ''").select(F.col("entity_id").alias("i"), "name_core")
+    right = prepared.where("not is_ref").select(F.col("entity_id").alias("j"), "name_core")
+    return left.join(right, "name_core").select("i", "j")
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    keyed = _keyed(spark, sf_dir)
+    scored = features.cosines(_pairs(keyed), keyed).withColumn("prob", F.round((F.col("name_tfidf") + F.col("addr_tfidf")) / 2, 7))
+    return keyed, scored.select("i", "j", "prob").persist(), _gold(keyed)
+
+
+def _entities(keyed: DataFrame) -> DataFrame:
+    return keyed.where("is_ref").select("entity_id", "country")
+
+
+@query(O.FOLD_TEXT)
+def fold_text(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.fold(F.col("text")).alias("folded"))
+
+
+@query(O.NORMALIZE)
+def normalize_records(spark, sf_dir):
+    return _prepared(spark, sf_dir).select("entity_id", "country", "country_norm", "name_norm", "name_core", "addr_norm")
+
+
+@query(O.ADDRESS_CODES)
+def address_codes(spark, sf_dir):
+    return _prepared(spark, sf_dir).select("entity_id", F.array_join("postcodes", " ").alias("postcodes"), F.array_join("numbers", " ").alias("numbers"))
+
+
+@query(O.KEY_SETS)
+def key_sets(spark, sf_dir):
+    return records.key_rows(_keyed(spark, sf_dir))
+
+
+@query(O.DOCUMENT_FREQUENCY)
+def document_frequency_idf(spark, sf_dir):
+    keyed = _keyed(spark, sf_dir)
+    return B.document_frequency(keyed, B.NAME_KEYS).select("token", "df", "df_pool", F.round(B.idf(keyed.count()), 6).alias("idf"))
+
+
+@query(O.WEIGHTS)
+def weights_l2(spark, sf_dir):
+    return B.weights(_keyed(spark, sf_dir), B.NAME_KEYS).select("id", "token", F.round("w", 6).alias("w"))
+
+
+@query(O.top_k("name_w"))
+def block_name_topk(spark, sf_dir):
+    return B.channel_top_k(_keyed(spark, sf_dir), B.NAME_KEYS, K, **PRUNING).select("i", "j", "rank", F.round("sim", 6).alias("sim"))
+
+
+@query(O.top_k("addr_w"))
+def block_addr_topk(spark, sf_dir):
+    return B.channel_top_k(_keyed(spark, sf_dir), B.ADDR_KEYS, K, **PRUNING).select("i", "j", "rank", F.round("sim", 6).alias("sim"))
+
+
+@query(O.PART_FALLBACK)
+def block_fallback_parts(spark, sf_dir):
+    """Part names as records: few names, so nearly every key is frequent and the fallback decides."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    key = F.col("p_partkey")
+    rows = p.select(F.concat(F.when(key % 40 == 0, "S1-").otherwise("S2-"), F.lpad(key.cast("string"), 6, "0")).alias("entity_id"), F.col("p_name").alias("business_name"),
+                    F.lit("").alias("business_address"), F.lit("").alias("country"), (key % 40 == 0).alias("is_ref"))
+    keyed = records.with_keys(records.prepare(rows)).persist()
+    return B.channel_top_k(keyed, B.NAME_KEYS, 3, 20, 400).select("i", "j", "rank", F.round("sim", 6).alias("sim"))
+
+
+@query(O.CANDIDATES)
+def candidate_pairs(spark, sf_dir):
+    return _pairs(_keyed(spark, sf_dir))
+
+
+@query(O.CANDIDATE_LISTS)
+def candidate_lists(spark, sf_dir):
+    keyed = _keyed(spark, sf_dir)
+    return B.as_lists(_pairs(keyed), keyed.where("is_ref"), "candidate_entity_ids")
+
+
+@query(O.COSINES)
+def pair_cosine(spark, sf_dir):
+    keyed = _keyed(spark, sf_dir)
+    return features.cosines(_pairs(keyed), keyed)
+
+
+@query(O.CONTEXT)
+def pair_context(spark, sf_dir):
+    keyed = _keyed(spark, sf_dir)
+    return features.context(features.cosines(_pairs(keyed), keyed)).select("i", "j", "name_rank", "addr_rank", "name_gap", "addr_gap", "n_candidates", "reverse_rank")
+
+
+@query(O.SET_FEATURES)
+def pair_set_features(spark, sf_dir):
+    keyed = _keyed(spark, sf_dir)
+    found = features.set_features(features.gather(_pairs(keyed), keyed)).drop("a", "b")
+    return found.select("i", "j", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in found.columns if c not in "ij"])
+
+
+@query(O.JARO_WINKLER)
+def pair_jaro_winkler(spark, sf_dir):
+    keyed = _keyed(spark, sf_dir)
+    found = features.gather(_pairs(keyed), keyed).where("a.name_core <> '' and b.name_core <> ''")
+    return features.string_features(found).select("i", "j", F.round("core_jaro_winkler", 6).alias("core_jaro_winkler"))
+
+
+@query(None)
+def pair_string_ratios(spark, sf_dir):
+    keyed = _keyed(spark, sf_dir)
+    return features.string_features(features.gather(_pairs(keyed), keyed)).drop("a", "b")
+
+
+@query(None)
+def pair_features(spark, sf_dir):
+    keyed = _keyed(spark, sf_dir)
+    return features.pair_features(_pairs(keyed), keyed)
+
+
+@query(O.EXCLUSIVITY)
+def exclusivity(spark, sf_dir):
+    gold = _gold(_prepared(spark, sf_dir))
+    least = gold.groupBy("j").agg(F.min("i").alias("i"))
+    tables = [evaluation.ownership(g).withColumn("gold", F.lit(n)) for n, g in (("all", gold), ("one_owner", least))]
+    return tables[0].union(tables[1])
+
+
+@query(O.BEST_OWNER)
+def best_owner(spark, sf_dir):
+    return evaluation.best_owner(_scored(spark, sf_dir)[1])
+
+
+@query(O.SELECT)
+def select_matches(spark, sf_dir):
+    scored = _scored(spark, sf_dir)[1]
+    both = [evaluation.select(scored, THRESHOLD, x).select("i", "j", "prob", F.lit(x).alias("exclusive")) for x in (False, True)]
+    return both[0].union(both[1])
+
+
+@query(O.MATCH_LISTS)
+def match_lists(spark, sf_dir):
+    keyed, scored, _ = _scored(spark, sf_dir)
+    return B.as_lists(evaluation.select(scored, THRESHOLD, True), keyed.where("is_ref"), "matched_entity_ids")
+
+
+@query(O.ENTITY_SCORES)
+def entity_scores(spark, sf_dir):
+    keyed, scored, gold = _scored(spark, sf_dir)
+    found = evaluation.entity_scores(_entities(keyed), evaluation.select(scored, THRESHOLD, False), gold)
+    return found.select("entity_id", "pred_n", "tp", "gold_n", *[F.round(c, 6).alias(c) for c in ("f05", "precision", "recall")])
+
+
+def _macro(spark, sf_dir, *by):
+    keyed, scored, gold = _scored(spark, sf_dir)
+    found = evaluation.macro(evaluation.entity_scores(_entities(keyed), evaluation.select(scored, THRESHOLD, False), gold), *by)
+    return found.select(*by, *[F.round(c, 6).alias(c) for c in ("f05", "precision", "recall")], "entities")
+
+
+@query(O.macro())
+def macro_scores(spark, sf_dir):
+    return _macro(spark, sf_dir)
+
+
+@query(O.macro("country"))
+def scores_by_country(spark, sf_dir):
+    return _macro(spark, sf_dir, "country")
+
+
+@query(O.SWEEP)
+def threshold_sweep(spark, sf_dir):
+    keyed, scored, gold = _scored(spark, sf_dir)
+    return evaluation.sweep(_entities(keyed), scored, gold, False).select("threshold", F.round("f05", 6).alias("f05"))
+
+
+@query(O.BEST_THRESHOLD)
+def best_threshold(spark, sf_dir):
+    return evaluation.best_threshold(threshold_sweep(spark, sf_dir))
+
+
+@query(O.BLOCKING_SCORES)
+def blocking_scores(spark, sf_dir):
+    keyed = _keyed(spark, sf_dir)
+    found = evaluation.blocking_scores(_entities(keyed), _pairs(keyed), _gold(keyed), keyed.where("not is_ref").count())
+    return found.select("candidate_pairs", *[F.round(c, 6).alias(c) for c in ("pair_completeness", "reduction_ratio", "mean_candidates_per_entity")])
+
+
+@query(O.VALUE_COUNTS)
+def entities_by_country(spark, sf_dir):
+    return er_records(spark, sf_dir).where("is_ref").groupBy("country").agg(F.count(F.lit(1)).alias("entities"))
+
+
+@query(O.SINGLETONS)
+def predicted_singletons(spark, sf_dir):
+    keyed, scored, gold = _scored(spark, sf_dir)
+    counts = evaluation.entity_counts(_entities(keyed), evaluation.select(scored, THRESHOLD, True), gold)
+    return counts.agg(F.count_if(F.col("pred_n") == 0).alias("singletons"), F.sum("pred_n").alias("matched_pairs"))
+
+
+@query(O.LABELS)
+def pair_labels(spark, sf_dir):
+    keyed = _keyed(spark, sf_dir)
+    truth = _gold(keyed).withColumn("g", F.lit(1))
+    return _pairs(keyed).join(truth, ["i", "j"], "left").select("i", "j", F.coalesce("g", F.lit(0)).alias("label"))
+
+
+def _broken(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 3 = 0").select("doc_id")
+    pool_id = lambda n: f"concat('S{n + 1}-', lpad(cast(doc_id + {n} as string), 6, '0'))"
+    lists = d.selectExpr("doc_id", "concat('S1-', lpad(cast(doc_id as string), 6, '0')) s1_id", f"concat({pool_id(1)}, ',', {pool_id(2)}) cell")
+    odd = "case when doc_id % 42 = 0 then 'S2-999999' when doc_id % 78 = 0 then concat(cell, ',', cell) else cell end"
+    m = lists.where("doc_id % 30 <> 0").selectExpr("doc_id", "case when doc_id % 45 = 0 then 'S1-x' else s1_id end s1_id", f"{odd} cell")
+    return m.union(m.where("doc_id % 66 = 0")).select("s1_id", "cell"), lists.selectExpr("s1_id", "case when doc_id % 54 = 0 then '' else cell end cell")
+
+
+@query(O.ISSUES)
+def output_issues(spark, sf_dir):
+    rec = er_records(spark, sf_dir)
+    return checks.issues(*_broken(spark, sf_dir), rec.where("is_ref"), rec.where("not is_ref"))

@@ -84,6 +84,7 @@ def labelled_sample(spark: SparkSession, n: int = 3000) -> DataFrame:
     plain = base.select(F.explode(F.array(
         F.concat(a, b, c), F.concat_ws("_", a, b, c), F.concat(a, F.initcap(b), F.initcap(c), F.initcap(d)), F.concat_ws("-", a, b, c, number),
         F.concat_ws("/", a, b, c, d), F.upper(F.concat_ws("_", a, b, c)), F.concat_ws("-", F.initcap(a), F.initcap(b), number), F.concat(a, b, c, d),
+        F.repeat(F.substring(F.lit(ALPHABET), (F.col("id") % len(ALPHABET) + 1).cast("int"), F.lit(1)), F.lit(20)),  # rulers and fillers
     )).alias("token"), F.lit(False).alias("random"))
     return random.union(plain)
 

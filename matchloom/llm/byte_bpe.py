@@ -30,7 +30,7 @@ from .tokens import slices
 #: White space in the splitting pattern's sense (Unicode White_Space).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Entries that each of a worker's tables may hold before it starts afresh.
-TABLE_SIZE = 250_000
+TABLE_SIZE = 450_000
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
@@ -182,14 +182,18 @@ class Codec:
         cache = self.cache
         if len(cache) > TABLE_SIZE:
             cache.clear()
+        if len(self.pieces) > TABLE_SIZE:
             self.pieces.clear()
-        out = []
-        for chunk in self.chunks(text):
-            known = cache.get(chunk)
-            if known is None:
-                ids = self.ids(chunk)
-                known = cache[chunk] = (" ".join(map(str, ids)), len(ids), self.decode(ids))
-            out.append(known)
+        chunks = self.chunks(text)
+        out = list(map(cache.get, chunks))
+        if None in out:
+            for k, known in enumerate(out):
+                if known is None:
+                    chunk = chunks[k]
+                    if (known := cache.get(chunk)) is None:
+                        ids = self.ids(chunk)
+                        known = cache[chunk] = (" ".join(map(str, ids)), len(ids), self.decode(ids))
+                    out[k] = known
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -245,10 +249,10 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
         for batch in batches:
             count, ids_hash, text_hash = [], [], []
             for text in batch.column("text"):
-                parts = c.coded(text.as_py())
-                count.append(sum([p[1] for p in parts]))
-                ids_hash.append(hashlib.sha256(" ".join([p[0] for p in parts]).encode()).hexdigest())
-                text_hash.append(hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
+                decimal, sizes, decoded = zip(*c.coded(text.as_py()), strict=True) if text.as_py() else ((), (), ())
+                count.append(sum(sizes))
+                ids_hash.append(hashlib.sha256(" ".join(decimal).encode()).hexdigest())
+                text_hash.append(hashlib.sha256(b"".join(decoded)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return id_and_text(docs).mapInArrow(run, schema)

@@ -19,8 +19,11 @@ suffixes are sorted, one bucket at a time.
    leading bytes after another and sorts it: first 16 bytes, then, as any two
    suffixes have a common shift below 16 at which both lie in the cover sample,
    the ranks of the sample there, then the last 16 bytes.
-3. A bucket of more than ``HOT_CONTEXTS`` contexts would be one task's burden;
-   its suffixes are told apart by window fingerprints in a grouped count.
+3. A bucket of more than ``HOT_CONTEXTS`` contexts would be one task's burden.
+   Its contexts are cut into cells of ``CELL`` windows at like distances from
+   the k-gram; the bytes that all windows of a cell hold split the bucket, and
+   what still shares them is told apart by window fingerprints in a grouped
+   count.
 
 Hashes have 64 bits twice (bucket and context, or bucket and window), so equal
 means equal but for a collision of 128 bits.
@@ -50,6 +53,8 @@ LENGTH = 400
 GRAM = 160
 #: Contexts of a bucket that one task sorts.
 HOT_CONTEXTS = 256
+#: Window starts of a cell of a hot bucket.
+CELL = 32
 #: Text that is ranked at once, and suffixes of a block.
 RANKED_BYTES, BLOCK_SUFFIXES = 4 << 20, 1 << 17
 #: Window starts of a long text that are scanned at once.
@@ -213,6 +218,14 @@ def _unpack(place: int) -> tuple[int, int]:
     return place >> 18 & (1 << 30) - 1, (place & (1 << 18) - 1) + 1
 
 
+def _lead(context: bytes, kh: int, gram: int) -> int:
+    """Where a context's k-gram starts: its first occurrence, as the leftmost of equals names a run."""
+    import xxhash
+
+    wanted = kh % (1 << 64)
+    return next(d for d in range(len(context)) if xxhash.xxh3_64_intdigest(context[d:d + gram]) == wanted)
+
+
 def keyed_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, id, tag, text, rest): what identifies a row, and the other columns; tag tells apart different texts that share an id."""
     small_batches(docs.sparkSession)
@@ -264,12 +277,13 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 data = unpress.decompress(z.as_py())
                 for r in rs:
                     start, size = _unpack(r["place"])
-                    rows.append((r["kh"], r["ch"], size, r["known"], r["hot"], data[start:start + size + length - 1]))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kh", "ch", "size", "known", "hot", "context"])
+                    context = data[start:start + size + length - 1]
+                    rows.append((r["kh"], r["ch"], size, _lead(context, r["kh"], gram) if r["hot"] else 0, r["known"], r["hot"], context))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kh", "ch", "size", "lead", "known", "hot", "context"])
 
-    cuts = materialize(copies.join(asked, ["id", "tag"]).select("z", "rs").mapInArrow(cut, "kh long, ch long, size int, known boolean, hot boolean, context binary"))
+    cuts = materialize(copies.join(asked, ["id", "tag"]).select("z", "rs").mapInArrow(cut, "kh long, ch long, size int, lead int, known boolean, hot boolean, context binary"))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, ["kh"], 2048):
@@ -297,18 +311,40 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
 
 def _hot_bits(cuts: DataFrame, length: int) -> DataFrame:
-    """Marks of contexts in very large buckets, by counts of window fingerprints."""
+    """Marks of contexts in very large buckets, by cells and then by counts of window fingerprints."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            out = []
+            for kh, ch, size, lead, known, data in zip(*(batch.column(c).to_pylist() for c in ("kh", "ch", "size", "lead", "known", "context")), strict=True):
+                k = 0
+                while k < size:
+                    cell = (lead - k) // CELL  # the k-gram lies ``lead - k`` bytes behind this window's start
+                    end = min(size, lead - cell * CELL + 1)
+                    first = lead - cell * CELL - CELL + 1  # the whole cell's first window, before the context perhaps
+                    core = data[max(0, first + CELL - 1):first + length]
+                    out.append((kh, ch, k, end - k, known, xxhash.xxh3_64_intdigest(core, cell & 0xFFFF), data[k:end + length - 1]))
+                    k = end
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            core = np.array(columns[5], np.uint64).astype(np.int64)
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=False)), pa.array(core), pa.array(columns[6], pa.binary())], names=["kh", "ch", "k", "size", "known", "core", "part"])
+
+    parts = materialize(cuts.select("kh", "ch", "size", "lead", "known", "context").mapInArrow(cells, "kh long, ch long, k int, size int, known boolean, core long, part binary"))
+    shared = materialize(parts.groupBy("kh", "core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kh", "core"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         hash64 = xxhash.xxh3_64_intdigest
         for batch in batches:
-            for kh, ch, size, known, data in zip(*(batch.column(c).to_pylist() for c in ("kh", "ch", "size", "known", "context")), strict=True):
-                prints = np.array([hash64(data[k:k + length]) for k in range(size)], np.uint64).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([kh] * size), pa.array([ch] * size), pa.array(range(size), pa.int32()), pa.array([known] * size), pa.array(prints)], names=["kh", "ch", "k", "known", "w"])
+            for kh, ch, k, size, known, data in zip(*(batch.column(c).to_pylist() for c in ("kh", "ch", "k", "size", "known", "part")), strict=True):
+                prints = np.array([hash64(data[i:i + length]) for i in range(size)], np.uint64).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([kh] * size), pa.array([ch] * size), pa.array(range(k, k + size), pa.int32()), pa.array([known] * size), pa.array(prints)], names=["kh", "ch", "k", "known", "w"])
 
-    rows = materialize(cuts.select("kh", "ch", "size", "known", "context").mapInArrow(windows, "kh long, ch long, k int, known boolean, w long"))
+    rows = materialize(parts.join(shared, ["kh", "core"]).select("kh", "ch", "k", "size", "known", "part").mapInArrow(windows, "kh long, ch long, k int, known boolean, w long"))
     twice = materialize(rows.groupBy("kh", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kh", "w"))
     marked = rows.where("not known").join(twice, ["kh", "w"]).groupBy("kh", "ch").agg(F.collect_list("k").alias("ks"))  # a run's windows: fewer than ``length``
 

@@ -39,17 +39,31 @@ WINDOW, STRIDE = 8, 4
 MAX_POSITIVE, MAX_NEGATIVE = 2000, 3000
 THRESHOLD = 0.7
 CACHE_WORDS = 400_000
+LOW, HIGH = 3, 6
+#: Characters above which a run is split, and those of a part: about two words, so that a window spans as much text as elsewhere.
+LONG_RUN, PART = 64, 16
 _words = re.compile(r"\w+").findall
 
 
+def parts_of(run: str) -> list[str]:
+    """The run itself, or the parts of a long one; neighbours share all but one character of the longest n-gram."""
+    if len(run) <= LONG_RUN:
+        return [run]
+    shared = HIGH - 1
+    return [run[k:k + PART] for k in range(0, len(run) - shared, PART - shared)]
+
+
 def words_of(text: str) -> list[str]:
-    return _words(text.lower())
+    words = _words(text.lower())
+    if max(map(len, words), default=0) > LONG_RUN:
+        return [part for w in words for part in parts_of(w)]
+    return words
 
 
-def ngram_ids(word: str, bits: int = BUCKET_BITS, low: int = 3, high: int = 6) -> list[int]:
+def ngram_ids(word: str, bits: int = BUCKET_BITS, low: int = LOW, high: int = HIGH) -> list[int]:
     """Hashed n-grams of ``<word>`` and of the word as a whole."""
     mask = (1 << bits) - 1
-    data = f"<{word[:64]}>"
+    data = f"<{word}>"
     grams = {data[i:i + n] for n in range(low, high + 1) for i in range(len(data) - n + 1)}
     return sorted({zlib.crc32(g.encode("utf-8", "replace")) & mask for g in grams | {data, "=" + word}})
 

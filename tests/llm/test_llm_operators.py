@@ -415,6 +415,29 @@ def test_toxicity_on_held_out_rows_and_unseen_misspellings(spark, docs, empty):
     assert toxicity.accepted(docs, None).columns == docs.columns
 
 
+def test_toxicity_reads_long_runs_to_their_end(spark):
+    run = "".join(chr(0x4E00 + 7 * k) for k in range(500))
+    grams = {run[i:i + n] for n in range(3, 7) for i in range(len(run) - n + 1)}
+    assert grams <= {p[i:i + n] for p in toxicity.words_of(run) for n in range(3, 7) for i in range(len(p) - n + 1)}
+    assert toxicity.words_of("a" * 64) == ["a" * 64] and "".join(toxicity.words_of("a" * 65)).count("a") >= 65
+    r = random.Random(8)
+    texts, labels = [], []
+    for i in range(900):
+        words = [r.choice(WORDS) for _ in range(r.randrange(20, 120))]
+        if i % 3 == 0:
+            for _ in range(2):
+                words[r.randrange(len(words))] = "vilzork" + r.choice(["", "er", "ing", "ed", "s"])
+        texts.append(" ".join(words))
+        labels.append(int(i % 3 == 0))
+    model = toxicity.train(texts, labels)
+    plain = [r.choice(WORDS) for _ in range(40)]
+    glued = [glue.join([*plain[:25], *bad, *plain[25:]]) for glue in ("", "_") for bad in ([], ["vilzork", "vilzorker", "vilzorking", "vilzorks"])]
+    assert min(map(len, glued)) > 150
+    rows = spark.createDataFrame(list(enumerate(glued)), "doc_id long, text string")
+    assert [x["predicted"] for x in toxicity.score(rows, model).sort("doc_id").collect()] == [0, 1, 0, 1]
+    assert sorted(x["doc_id"] for x in toxicity.accepted(rows, model).collect()) == [0, 2]
+
+
 # 10
 
 def test_lm_scores(docs, empty, monkeypatch):

@@ -12,7 +12,7 @@ in order of falling length places the remainder.
 
 Defined results: a null text is the empty text, which is one piece holding the
 end token; an empty table gives no rows; repeated rows (equal doc_id and text)
-are documents of their own; extra columns are ignored.
+are documents of their own; a null doc_id stays null; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 4
         enc = encoder(path)
         tail = np.array([end_id], np.uint32)
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("text")
+            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for lo, hi in slices(texts):
                 ids, at = enc.encode(texts.slice(lo, hi - lo))
                 out: list[tuple[int, int, int, int, int]] = []

@@ -13,7 +13,8 @@ documents and pieces that the segments hold.
 
 Defined results: a null text is the empty text (one piece with the end id
 only); an empty table gives no rows; repeated rows are documents of their own;
-ties of room go to the sequence opened first; extra columns are ignored.
+ties of room go to the sequence opened first; a null doc_id stays null; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _sequences(docs: list[tuple[int, np.ndarray]], capacity: int, pad_id: int) -> pa.RecordBatch:
+def _sequences(docs: list[tuple[int | None, np.ndarray]], capacity: int, pad_id: int) -> pa.RecordBatch:
     parts = [(doc, n, s, ids[s:s + capacity]) for doc, ids in docs for n, s in enumerate(range(0, len(ids), capacity))]
     bins = best_fit_decreasing(np.array([len(p[3]) for p in parts]), capacity)
     name = uuid.uuid5(uuid.NAMESPACE_OID, f"{docs[0][0]}:{docs[-1][0]}:{len(docs)}:{sum(len(i) for _, i in docs)}").hex
@@ -117,14 +118,14 @@ def packed_sequences(docs: DataFrame, tokenizer_path: str | None = None, capacit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail = encoder(path), np.array([end_id], np.uint32)
-        held: list[tuple[int, np.ndarray]] = []
+        held: list[tuple[int | None, np.ndarray]] = []
         size = 0
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("text")
+            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for lo, hi in slices(texts):
                 ids, at = enc.encode(texts.slice(lo, hi - lo))
                 for k in range(hi - lo):
-                    held.append((int(doc_ids[lo + k]), np.concatenate([ids[at[k]:at[k + 1]], tail])))
+                    held.append((doc_ids[lo + k], np.concatenate([ids[at[k]:at[k + 1]], tail])))
                 size += len(ids) + hi - lo
                 if size >= window_tokens:
                     yield from _emit(_sequences(held, capacity, pad_id))

@@ -241,6 +241,15 @@ def test_best_fit(docs, empty, ids):
     assert best_fit.pack_documents(empty).count() == 0
 
 
+def test_packing_keeps_rows_with_null_ids(spark, ids):
+    texts = [(None, prose(90, 1)), (7, prose(300, 2)), (None, prose(40, 3)), (8, None), (None, None)]
+    table = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    want = sorted([(i, s, n) for i, t in texts for n in [len(ids(t or ""))] for s in range(0, n, 4096)], key=key)
+    assert sorted([(r["doc_id"], r["start"], r["length"]) for r in best_fit.pack_documents(table).collect()], key=key) == want
+    assert sorted([(r["doc_id"], r["start"], len(r["ids"])) for r in token_output.read_back(token_output.packed_sequences(table)).collect()], key=key) == want
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_reduction_never_costs_a_sequence(seed):
     r = random.Random(seed)

@@ -5,8 +5,9 @@ Their places come from cutting the text at the matches: the lengths of the
 gaps and of the matches in turn add up to code-point offsets.
 
 Model spans: two character Markov chains, of random strings and of ordinary
-identifiers, give every long token outside the rule spans a log-likelihood
-ratio per character; tokens above ``RATIO`` are spans of kind ``markov``. The
+identifiers, give every long token, or each long part of one that rule spans
+leave, a log-likelihood ratio per character; those above ``RATIO`` are spans of
+kind ``markov``. The
 chains are trained from a labelled sample by grouped counts; their tables have
 a row for each pair of the fixed alphabet's characters at most, so they go into
 the plan as literals.
@@ -30,9 +31,10 @@ RULES = (
     ("hex", r"[0-9a-f]{16,}", 0, 16),  # runs are maximal, so short ones can't hide long ones
 )
 KINDS = (*(k for k, *_ in RULES), "markov")
-#: Tokens that the chains judge: whole runs of these characters, ``MIN_TOKEN`` to ``MAX_JUDGED`` of them judged.
+#: Tokens that the chains judge: whole runs of these characters, however long, or what rule spans leave of them, from ``LEAST`` on.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
+LEAST = 16
+TOKEN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 #: Log-likelihood ratio per character (natural log) above which a token is random.
 RATIO = 0.5
 SPAN = "struct<start:int,end:int,rank:int,kind:string>"
@@ -127,6 +129,21 @@ def _ratio(token: Column, table: list[float], k: int) -> Column:
     return total / F.char_length(token)
 
 
+def _left_over(token: Column, base: Column) -> Column:
+    """The parts of a token, of ``LEAST`` code points on, that lie outside the ordered rule spans."""
+    zero = F.struct(token["start"].alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
+
+    def grown(acc: Column, end: Column) -> Column:
+        part = F.struct(acc["at"].alias("start"), end.alias("end"), token["rank"].alias("rank"), token["kind"].alias("kind"))
+        return F.when(end - acc["at"] >= LEAST, F.concat(acc["out"], F.array(part))).otherwise(acc["out"])
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), grown(acc, b["start"]).alias("out"))
+
+    touching = F.filter(base, lambda b: (b["start"] < token["end"]) & (token["start"] < b["end"]))
+    return F.when(F.size(touching) == 0, F.array(token)).otherwise(F.aggregate(touching, zero, step, lambda acc: grown(acc, token["end"])))
+
+
 def scan(docs: DataFrame, model: tuple[list[float], int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, rest, base array<span>, spans array<span>): rule spans, and all spans in order of start and kind; rest: the other columns."""
     table, k = model or train(labelled_sample(docs.sparkSession))
@@ -137,9 +154,9 @@ def scan(docs: DataFrame, model: tuple[list[float], int] | None = None, id_col:
         rows = rows.withColumn(name, _spans(text, *rule))
     rows = rows.withColumn("base", F.array_sort(F.concat(*[F.col(kind) for kind, *_ in RULES])))
     rows = rows.withColumn("tokens", _spans(text, "markov", TOKEN, 0, 0))
-    clear = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+    rows = rows.withColumn("parts", F.flatten(F.transform("tokens", lambda t: _left_over(t, F.col("base")))))
     random = lambda t: _ratio(F.substring(text, t["start"] + 1, t["end"] - t["start"]), table, k) > RATIO
-    rows = rows.withColumn("markov", F.filter("tokens", lambda t: clear(t) & random(t)))
+    rows = rows.withColumn("markov", F.filter("parts", random))
     return rows.select("doc_id", "text", "rest", "assign", "access", "hex", "base", F.array_sort(F.concat("base", "markov")).alias("spans"))
 
 

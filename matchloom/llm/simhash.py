@@ -15,7 +15,11 @@ components. Equal fingerprints are merged before and expanded after by a join.
 
 Defined results: a null or empty text has fingerprint zero, linked like any
 other; repeated rows share their class; an empty table gives no rows; ties of
-bits (exactly half) are 0; extra columns are ignored.
+bits (exactly half) are 0; extra columns are ignored. A null doc_id counts as
+larger than any other. A class is represented by one row, whatever other
+classes hold rows of the same doc_id: that of the smallest doc_id, between rows
+that share it that of the smallest text digest; rows of one doc_id and text
+stay once.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize
+from .common import id_and_text, materialize, text_column
 from .components import components
 from .tokens import slices
 
@@ -56,17 +60,20 @@ def fingerprint(text: bytes, size: int = SHINGLE, seed: int = 42) -> bytes:
     return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) of every whole text."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, marked: bool = False) -> DataFrame:
+    """(doc_id, fp long) of every whole text; with ``marked``, also mark, a digest of the text."""
+    names = ["doc_id", *["mark"] * marked, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             for lo, hi in slices(texts):
                 fps = b"".join([fingerprint(t.as_py(), size) for t in texts.slice(lo, hi - lo)])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.frombuffer(fps, ">i8").astype(np.int64))], names=["doc_id", "fp"])
+                own = [batch.column(c).slice(lo, hi - lo) for c in names[:-1]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.frombuffer(fps, ">i8").astype(np.int64))], names=names)
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    rows = id_and_text(docs)
+    return (rows.withColumn("mark", F.unhex(F.md5("text"))) if marked else rows).mapInArrow(run, "doc_id long, mark binary, fp long" if marked else "doc_id long, fp long")
 
 
 def selections(n: int, radius: int = RADIUS) -> list[int]:
@@ -176,19 +183,28 @@ def whole_runs(batches: Iterator[pa.RecordBatch], order: list[str], at_least: in
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _classed(distinct: DataFrame, radius: int) -> DataFrame:
+    """The rows of ``distinct`` (a written table with fp) with root, which is the same for all fingerprints of a class."""
+    roots = materialize(components(materialize(links(distinct, radius))))
+    return materialize(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
     own = materialize(fingerprints(docs, size))
-    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = materialize(components(materialize(links(distinct, radius))))
-    classed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    classed = materialize(classed)
+    classed = _classed(materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first"))), radius)
     least = materialize(classed.groupBy("root").agg(F.min("first").alias("component_id")))
     of_fp = materialize(classed.join(least, "root").select("fp", "component_id"))
     return own.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their class; rows that repeat that doc_id stay once."""
-    kept = near_duplicates(docs, radius, size).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of ``docs`` for each class: that of the smallest doc_id, null last."""
+    own = fingerprints(docs, size, marked=True)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    classed = _classed(materialize(own.groupBy("fp").agg(F.min(row).alias("first"))), radius)
+    best = classed.groupBy("root").agg(F.min("first").alias("best"))
+    kept = best.select(F.col("best.doc_id").alias("_id"), F.col("best.mark").alias("_mark"))
+    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_mark": F.unhex(F.md5(text_column()))})
+    same = rows["_id"].eqNullSafe(kept["_id"]) & (rows["_mark"] == kept["_mark"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["_id", "_mark"]).drop("_id", "_mark")

@@ -317,6 +317,13 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_simhash_representatives_of_null_and_shared_ids(spark):
+    a, b, c, d = (prose(80, f"rep{k}") for k in range(4))
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, c), (5, c), (2, a), (2, d), (6, None), (None, ""), (1, a)]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.collect()) == sorted([(1, a), (-1, b), (5, c), (2, d), (6, "")])
+
+
 def test_simhash_links_are_complete_in_split_cells(spark):
     r = random.Random(4)
     centre = r.getrandbits(64)

@@ -29,8 +29,11 @@ from .tokens import slices
 
 #: White space in the splitting pattern's sense (Unicode White_Space).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: Entries that each of a worker's tables may hold before it starts afresh.
-TABLE_SIZE = 450_000
+#: Entries that each of a worker's tables may hold before it starts afresh, and bytes of the prefixes.
+TABLE_SIZE, TABLE_BYTES = 450_000, 64 << 20
+#: Bytes of a match, or characters of a chunk, above which it is encoded by a list of its own and not kept:
+#: its prefixes as keys would need the square of its length.
+LONG = 256
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
@@ -42,6 +45,7 @@ class PrefixBPE:
         self.tokens = {r: t for t, r in ranks.items()}
         self.longest = max(map(len, ranks))
         self.last: dict[bytes, int] = {}
+        self.held = 0  # bytes of the prefixes in last, at most
         self.apart: dict[tuple[int, int], bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
 
@@ -104,9 +108,13 @@ class PrefixBPE:
     def encode(self, data: bytes) -> list[int]:
         if data in self.ranks:  # a whole match that is a token is that token
             return [self.ranks[data]]
-        if len(self.last) > TABLE_SIZE:
-            self.last = {}
-            self.apart = {} if len(self.apart) > TABLE_SIZE else self.apart
+        if len(self.apart) > TABLE_SIZE:
+            self.apart = {}
+        if len(data) > LONG:
+            return Encoding(self, data).ids()
+        self.held += len(data) * (len(data) + 1) // 2
+        if len(self.last) > TABLE_SIZE or self.held > TABLE_BYTES:
+            self.last, self.held = {}, len(data) * (len(data) + 1) // 2
         self.extend(data, 0)
         out, end = [], len(data)
         while end:
@@ -170,7 +178,9 @@ class Codec:
         for piece in [chunk] if chunk.isalpha() or chunk[0] == " " and chunk[1:].isalpha() else self.matches(chunk):
             known = self.pieces.get(piece)
             if known is None:
-                known = self.pieces[piece] = self.bpe.encode(piece.encode())
+                known = self.bpe.encode(piece.encode())
+                if len(piece) <= LONG:
+                    self.pieces[piece] = known
             found += known
         return found
 
@@ -192,7 +202,9 @@ class Codec:
                     chunk = chunks[k]
                     if (known := cache.get(chunk)) is None:
                         ids = self.ids(chunk)
-                        known = cache[chunk] = (" ".join(map(str, ids)), len(ids), self.decode(ids))
+                        known = (" ".join(map(str, ids)), len(ids), self.decode(ids))
+                        if len(chunk) <= LONG:
+                            cache[chunk] = known
                     out[k] = known
         return out
 

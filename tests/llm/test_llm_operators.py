@@ -406,6 +406,18 @@ def test_byte_bpe(docs, empty):
         assert codec.encode(text) == library.encode_ordinary(text)
 
 
+def test_byte_bpe_tables_stay_small_on_long_runs():
+    codec = byte_bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.bpe.ranks, special_tokens={})
+    r = random.Random(6)
+    for text in ("".join(r.choice("abethinorsé") for _ in range(6000)), "".join(r.choice("!-.=*") for _ in range(6000)), "東京" * 1500, "ab " + "x" * 257 + "y" * 256):
+        coded = codec.coded(text)
+        ids = library.encode_ordinary(text)
+        assert codec.encode(text) == ids == [int(i) for decimal, _, _ in coded for i in decimal.split()]
+        assert b"".join(d for _, _, d in coded).decode() == text
+    assert sum(map(len, codec.bpe.last)) + sum(map(len, [*codec.pieces, *codec.cache])) < 1 << 20
+
+
 def test_byte_bpe_appends_and_edits():
     codec = byte_bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     r = random.Random(3)

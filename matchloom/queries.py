@@ -116,6 +116,12 @@ def candidate_pairs(spark, sf_dir):
     return _pairs(_keyed(spark, sf_dir))
 
 
+@query(None)
+def candidate_pairs_production(spark, sf_dir):
+    """``candidate_pairs`` with the operator's defaults, as the command line runs it."""
+    return B.candidates(_keyed(spark, sf_dir))
+
+
 @query(O.CANDIDATE_LISTS)
 def candidate_lists(spark, sf_dir):
     keyed = _keyed(spark, sf_dir)

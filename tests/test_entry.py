@@ -20,3 +20,8 @@ def test_query_equals_its_sql(spark, name):
     columns = sorted(frame.columns)
     want = con.sql(f"select {', '.join(f'"{c}"' for c in columns)} from ({entry.oracle_sql()[name]})").fetchall()
     assert sorted(map(repr, (tuple(r[c] for c in columns) for r in frame.collect()))) == sorted(map(repr, want))
+
+
+def test_production_candidates_are_not_pruned_like_the_compared_ones(spark):
+    small, full = ({tuple(r) for r in entry.queries()[n](spark, SMALL).select("i", "j").collect()} for n in ("candidate_pairs", "candidate_pairs_production"))
+    assert len(full) > len(small) and {i for i, _ in small} <= {i for i, _ in full}

@@ -26,11 +26,11 @@ ADDRESS_ABBREVIATIONS = {
 
 
 def _folds() -> tuple[str, str, dict[str, str]]:
-    """(characters, their one-character folds then nothing for those that vanish, longer folds), as far as the result can tell."""
+    """(characters, their one-character folds then nothing for those that vanish, longer folds) of all of Unicode, as far as the result can tell."""
     single: dict[str, str] = {}
     longer: dict[str, str] = {}
     gone = []
-    for code in range(0x80, 0x10000):
+    for code in range(0x80, 0x110000):
         if 0xD800 <= code < 0xE000:
             continue
         c = chr(code)
@@ -39,10 +39,8 @@ def _folds() -> tuple[str, str, dict[str, str]]:
             continue
         if not flat:
             gone.append(c)
-        elif len(flat) == 1:
-            single[c] = flat
-        elif any(x.isascii() for x in flat):
-            longer[c] = flat
+        elif any(x.isascii() for x in flat):  # the rest becomes a blank whatever it folds to
+            (single if len(flat) == 1 else longer)[c] = flat
     return "".join([*single, *gone]), "".join(single.values()), longer
 
 

@@ -23,7 +23,7 @@ def test_fold_follows_compatibility_decomposition(spark):
         flat = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
         return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in flat.replace("&", " and ").replace("'", "").replace("’", "")).split())
 
-    texts = ["x" + "".join(map(chr, range(a, a + 16))) + "y" for a in itertools.chain(range(0xA0, 0x600, 16), range(0x1E00, 0x2200, 16), range(0xFB00, 0xFB10, 16))]
+    texts = ["x" + "".join(map(chr, range(a, a + 16))) + "y" for a in itertools.chain(range(0xA0, 0x600, 16), range(0x1E00, 0x2200, 16), range(0xFB00, 0xFB10, 16), range(0x1D400, 0x1D800, 16), range(0x1F100, 0x1F200, 16), range(0x10280, 0x10300, 16), range(0xE0100, 0xE0120, 16))]
     rows = spark.createDataFrame([(t,) for t in texts], "x string").select("x", T.fold(F.col("x")).alias("y")).collect()
     assert [(r["x"], r["y"]) for r in rows if r["y"] != slow(r["x"])] == []
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions.strings import STRING_FEATURES, string_scores
 
-from .blocking import ADDR_COSINE_KEYS, NAME_KEYS, document_frequency, idf, union_keys
+from .blocking import ADDR_COSINE_KEYS, NAME_KEYS, idf, union_keys
 
 # The features in model order.
 FEATURES = [
@@ -19,24 +19,32 @@ COSINES = {"name_tfidf": NAME_KEYS, "addr_tfidf": ADDR_COSINE_KEYS}
 DECIMALS = 6
 
 
-def _vectors(keyed: DataFrame, kinds: list[str], n: int) -> DataFrame:
-    """(id, idf: map of a record's tokens, norm)."""
-    rows = keyed.select(F.col("entity_id").alias("id"), F.explode(union_keys(kinds)).alias("token"))
-    rows = rows.join(document_frequency(keyed, kinds).persist(), "token").withColumn("v", idf(n))
-    return rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "v"))).alias("idf"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+def _vectors(keyed: DataFrame, channels: dict[str, list[str]], n: int) -> DataFrame:
+    """(id, and for each channel: map of a record's tokens to their idf, norm), all channels in one pass."""
+    parts = F.array(*[F.struct(F.lit(k).alias("c"), union_keys(kinds).alias("tokens")) for k, kinds in enumerate(channels.values())])
+    rows = keyed.select(F.col("entity_id").alias("id"), F.explode(parts).alias("p")).select("id", "p.c", F.explode("p.tokens").alias("token"))
+    # Kept before the join, like the weights of blocking: a frequent token's rows can then be split.
+    df = rows.groupBy("c", "token").agg(F.count(F.lit(1)).alias("df")).persist()
+    own = rows.join(df, ["c", "token"]).withColumn("v", idf(n)).groupBy("id")
+    out = []
+    for k, name in enumerate(channels):
+        mine = F.col("c") == k
+        out += [F.map_from_entries(F.collect_list(F.when(mine, F.struct("token", "v")))).alias(f"{name}_idf"), F.sqrt(F.sum(F.when(mine, F.col("v") * F.col("v")))).alias(f"{name}_norm")]
+    return own.agg(*out)
 
 
 def cosines(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
     """``pairs`` with the full cosines on name and on address keys, 0 without a shared key."""
-    n = keyed.count()
-    for name, kinds in COSINES.items():
-        v = _vectors(keyed, kinds, n)
-        a, b = (v.select(F.col("id").alias(k), F.col("idf").alias(f"{k}_idf"), F.col("norm").alias(f"{k}_norm")) for k in "ij")
-        shared = F.array_intersect(F.map_keys("i_idf"), F.map_keys("j_idf"))
-        dot = F.aggregate(shared, F.lit(0.0), lambda acc, t: acc + F.pow(F.element_at("i_idf", t), 2.0))
-        value = F.coalesce(F.round(dot / F.col("i_norm") / F.col("j_norm"), DECIMALS), F.lit(0.0))
-        pairs = pairs.join(a, "i", "left").join(b, "j", "left").withColumn(name, value).drop("i_idf", "i_norm", "j_idf", "j_norm")
-    return pairs
+    v = _vectors(keyed, COSINES, keyed.count())
+    a, b = (v.select(F.col("id").alias(k), F.struct(*[c for c in v.columns if c != "id"]).alias(f"{k}_v")) for k in "ij")
+    joined = pairs.join(a, "i", "left").join(b, "j", "left")
+    for name in COSINES:
+        left, right = (F.col(f"{k}_v.{name}_idf") for k in "ij")
+        shared = F.array_intersect(F.map_keys(left), F.map_keys(right))
+        dot = F.aggregate(shared, F.lit(0.0), lambda acc, t: acc + F.pow(F.element_at(left, t), 2.0))  # noqa: B023
+        value = F.round(dot / F.col(f"i_v.{name}_norm") / F.col(f"j_v.{name}_norm"), DECIMALS)
+        joined = joined.withColumn(name, F.coalesce(value, F.lit(0.0)))
+    return joined.select(*pairs.columns, *COSINES)
 
 
 def context(pairs: DataFrame) -> DataFrame:

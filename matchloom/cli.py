@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import sys
 
 from pyspark.sql import SparkSession
@@ -35,7 +36,7 @@ def _parser() -> argparse.ArgumentParser:
             p.add_argument("--k-addr", type=int, default=10)
             p.add_argument("--max-df", type=int, default=3000)
             p.add_argument("--fallback-df", type=int, default=30000)
-            p.add_argument("--iterations", type=int, default=40, help="boosting rounds")
+            p.add_argument("--iterations", type=int, default=300, help="boosting rounds")
         if "p" in groups:
             p.add_argument("--team", required=True)
             p.add_argument("--dest", default=".")
@@ -48,6 +49,7 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "package":
         print(*package.build(args.team, args.out_dir, args.dest, args.methodology)[1], sep="\n")
         return
+    logging.basicConfig(stream=sys.stderr, level=logging.INFO, format="%(asctime)s %(message)s")
     spark = session()
     if args.command in ("train", "run"):
         keys = ("threshold", "val_frac", "seed", "max_train_entities", "k_name", "k_addr", "max_df", "fallback_df", "iterations")

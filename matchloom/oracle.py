@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from matchloom.operators.features import FEATURES
 from matchloom.functions.text import ADDRESS_ABBREVIATIONS, LEGAL_FORMS, LEGAL_TOKENS, NAME_STOPWORDS
 
 K, MAX_DF, FALLBACK_DF, THRESHOLD = 5, 3, 30, 0.35
@@ -152,7 +153,57 @@ select i, j, {_jaccard('core')} core_token_jaccard, coalesce(cast(a.first = b.fi
   {_jaccard('addr')} addr_token_jaccard, {_tri('postcode')} postcode_match, {_jaccard('number')} number_jaccard,
   cast(a.country_norm = b.country_norm as double) same_country, cast(starts_with(j, 'S3-') as double) is_source3
 from cand join keyed a on a.entity_id = i join keyed b on b.entity_id = j"""
-JARO_WINKLER = "with " + _CAND + " select i, j, round(jaro_winkler_similarity(a.name_core, b.name_core), 6) core_jaro_winkler from cand join rec a on a.entity_id = i join rec b on b.entity_id = j where a.name_core <> '' and b.name_core <> ''"
+JARO_WINKLER = "with " + _CAND + """
+select i, j, case when a.name_core = b.name_core then 1.0 when a.name_core = '' or b.name_core = '' then 0.0 else round(jaro_winkler_similarity(a.name_core, b.name_core), 6) end core_jaro_winkler
+from cand join rec a on a.entity_id = i join rec b on b.entity_id = j"""
+
+
+def _masks(x: str, y: str) -> str:
+    """For each character of list y: the places in list x that hold it, as bits."""
+    return f"list_transform({y}, lambda c: coalesce(list_sum(list_transform(range(1, len({x}) + 1), lambda k: case when {x}[k] = c then 1::hugeint << (k - 1)::hugeint else 0::hugeint end)), 0::hugeint))"
+
+
+def _common(n: str, masks: str) -> str:
+    """Longest common subsequence of a string of n characters and one given by masks: its zero bits after the row recurrence."""
+    full = f"((1::hugeint << ({n})::hugeint) - 1)"
+    return f"({n} - bit_count(list_reduce(list_prepend({full}, {masks}), lambda r, h: ((r + (r & h)) | (r - (r & h))) & {full})))"
+
+
+def _chars(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, ''), lambda t: t <> '')"
+
+
+#: Scores of distinct string pairs (a, b) of table ``sp``; strings of up to 120 characters fit a row of bits.
+_STRING_SCORES = f"""
+sw as (
+  select a, b, {_chars('a')} ca, {_chars('b')} cb, list_sort(list_distinct({_words('a')})) wa, list_sort(list_distinct({_words('b')})) wb from sp
+), sx as (
+  select *, {_joined("list_filter(wa, lambda t: list_contains(wb, t))")} both_, {_joined("list_filter(wa, lambda t: not list_contains(wb, t))")} x, {_joined("list_filter(wb, lambda t: not list_contains(wa, t))")} y from sw
+), sm as (
+  select *, {_chars('x')} cx, {_chars('y')} cy, {_masks('ca', 'cb')} ab, {_masks('cb', 'ca')} ba from sx
+), sc as (
+  select *, {_masks('cx', 'cy')} xy, length(both_) s, case when both_ <> '' then 1 else 0 end gap from sm
+), sp_scores as (
+  select a, b, case when a = '' and b = '' then 1.0 else 2.0 * {_common('len(ca)', 'ab')} / (len(ca) + len(cb)) end ratio,
+    case when len(wa) = 0 or len(wb) = 0 then 0.0 when both_ <> '' and (x = '' or y = '') then 1.0 else greatest(
+      1 - (len(cx) + len(cy) - 2 * {_common('len(cx)', 'xy')}) / (2.0 * (s + gap) + len(cx) + len(cy)),
+      case when both_ <> '' then greatest(1 - (gap + len(cx)) / (2.0 * s + gap + len(cx)), 1 - (gap + len(cy)) / (2.0 * s + gap + len(cy))) else 0 end) end token_set,
+    case when a = '' or b = '' then case when a = b then 1.0 else 0.0 end else greatest(
+      case when len(ca) <= len(cb) then list_max(list_transform(range(1, len(ca) + len(cb)), lambda e: 2.0 * {_common('len(ca)', 'ab[greatest(e - len(ca), 0) + 1:least(e, len(cb))]')} / (len(ca) + least(e, len(cb)) - greatest(e - len(ca), 0)))) else 0 end,
+      case when len(cb) <= len(ca) then list_max(list_transform(range(1, len(ca) + len(cb)), lambda e: 2.0 * {_common('len(cb)', 'ba[greatest(e - len(cb), 0) + 1:least(e, len(ca))]')} / (len(cb) + least(e, len(ca)) - greatest(e - len(cb), 0)))) else 0 end) end partial
+  from sc
+)"""
+_STRING_CTES = """cp as (select i, j, a.name_norm an, b.name_norm bn, a.name_core ac, b.name_core bc, a.addr_norm aa, b.addr_norm ba from cand join rec a on a.entity_id = i join rec b on b.entity_id = j),
+sp as (select an a, bn b from cp union select ac, bc from cp union select aa, ba from cp),""" + _STRING_SCORES + """,
+strings as (
+  select i, j, round(n.ratio, 6) name_ratio, round(n.token_set, 6) name_token_set, round(n.partial, 6) name_partial, round(c.ratio, 6) core_ratio, round(c.token_set, 6) core_token_set,
+    case when ac = bc then 1.0 when ac = '' or bc = '' then 0.0 else round(jaro_winkler_similarity(ac, bc), 6) end core_jaro_winkler, round(d.token_set, 6) addr_token_set, round(d.partial, 6) addr_partial
+  from cp join sp_scores n on n.a = an and n.b = bn join sp_scores c on c.a = ac and c.b = bc join sp_scores d on d.a = aa and d.b = ba
+)"""
+STRING_RATIOS = "with " + _CAND + ", " + _STRING_CTES + " select * from strings"
+_CONTEXT_SELECT, _SET_SELECT = CONTEXT.removeprefix("with " + _COS), SET_FEATURES.removeprefix("with " + _CAND)
+PAIR_FEATURES = "with " + _COS + f", ctx as ({_CONTEXT_SELECT}), setf as ({_SET_SELECT}), " + _STRING_CTES + f"""
+select i, j, {', '.join(f'cast({f} as double) {f}' for f in FEATURES)} from cos join ctx using (i, j) join setf using (i, j) join strings using (i, j)"""
 EXCLUSIVITY = "with " + _BASE + _GOLD + """, owned as (select 'all' gold, j, count(*) n from gold group by j union all select 'one_owner', j, 1 from gold group by j)
 select gold, coalesce(max(n), 1) <= 1 exclusive, count(*) filter (n > 1) shared from owned group by 1"""
 BEST_OWNER = "with " + _SCORED + " select i, j, prob from owner"
@@ -174,11 +225,18 @@ swept as (
   from th t cross join ents e left join pt on pt.threshold = t.threshold and pt.i = e.entity_id group by 1
 )"""
 SWEEP = _SWEPT + " select threshold, f05 from swept"
+SWEEP_EXCLUSIVE = SWEEP.replace("join scored s on", "join owner s on")
 BEST_THRESHOLD = _SWEPT + " select threshold, f05 from swept order by f05 desc, threshold desc limit 1"
 BLOCKING_SCORES = "with " + _CAND + _GOLD + """, t as (
   select (select count(*) from cand) n, (select count(*) from gold) gold, (select count(*) from cand join gold using (i, j)) found, (select count(*) from rec where is_ref) e, (select count(*) from rec where not is_ref) p
 ) select n candidate_pairs, round(case when gold > 0 then found / gold else 1.0 end, 6) pair_completeness, round(1 - n / greatest(e * p, 1), 6) reduction_ratio, round(n / greatest(e, 1), 6) mean_candidates_per_entity from t"""
 VALUE_COUNTS = "select lang country, count(*) entities from documents where doc_id % 3 = 0 group by 1"
+SPLIT = "with " + _ER + """, ids as (select entity_id from er where is_ref),
+chosen as (select entity_id from ids order by md5('43:' || entity_id), entity_id limit 200),
+held as (select entity_id from chosen order by md5('42:' || entity_id), entity_id limit (select cast(round_even(count(*) * 0.2, 0) as bigint) from chosen))
+select entity_id, case when entity_id in (select entity_id from held) then 'val' else 'train' end part from chosen"""
+SOURCES = "with " + _ER + """, n as (select *, cast(substr(entity_id, 2, 1) as integer) source from er)
+select entity_id, replace(business_name, chr(9), ' ') business_name, replace(business_address, chr(9), ' ') business_address, country, source, row_number() over (partition by source order by entity_id) - 1 place from n"""
 SINGLETONS = "with " + _SCORED + f" select count(*) filter (n = 0) singletons, cast(sum(n) as bigint) matched_pairs from (select entity_id, count(j) n from rec left join (select * from owner where prob >= {THRESHOLD}) on i = entity_id where is_ref group by 1)"
 LABELS = "with " + _CAND + _GOLD + " select i, j, case when g.j is null then 0 else 1 end label from cand left join gold g using (i, j)"
 ISSUES = """

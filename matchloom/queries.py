@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchloom import oracle as O
 from matchloom.functions import text as T
 from matchloom.operators import blocking as B
-from matchloom.operators import checks, evaluation, features, records
+from matchloom.operators import checks, evaluation, features, model, records
+from matchloom.plans import linkage
 from matchloom.plans.fixtures import er_records
+from matchloom.sources import shared, tsv
 
 #: Small enough that the pruning and the fallback bind on the test tables.
 PRUNING = {"max_df": 3, "fallback_df": 30}
@@ -150,20 +152,21 @@ def pair_set_features(spark, sf_dir):
 @query(O.JARO_WINKLER)
 def pair_jaro_winkler(spark, sf_dir):
     keyed = _keyed(spark, sf_dir)
-    found = features.gather(_pairs(keyed), keyed).where("a.name_core <> '' and b.name_core <> ''")
+    found = features.gather(_pairs(keyed), keyed)
     return features.string_features(found).select("i", "j", F.round("core_jaro_winkler", 6).alias("core_jaro_winkler"))
 
 
-@query(None)
+@query(O.STRING_RATIOS)
 def pair_string_ratios(spark, sf_dir):
     keyed = _keyed(spark, sf_dir)
-    return features.string_features(features.gather(_pairs(keyed), keyed)).drop("a", "b")
+    found = features.string_features(features.gather(_pairs(keyed), keyed)).drop("a", "b")
+    return found.select("i", "j", *[F.round(c, 6).alias(c) for c in found.columns if c not in "ij"])
 
 
-@query(None)
+@query(O.PAIR_FEATURES)
 def pair_features(spark, sf_dir):
     keyed = _keyed(spark, sf_dir)
-    return features.pair_features(_pairs(keyed), keyed)
+    return features.pair_features(_pairs(keyed), keyed).select("i", "j", *[F.round(c, 6).alias(c) for c in features.FEATURES])
 
 
 @query(O.EXCLUSIVITY)
@@ -221,6 +224,12 @@ def threshold_sweep(spark, sf_dir):
     return evaluation.sweep(_entities(keyed), scored, gold, False).select("threshold", F.round("f05", 6).alias("f05"))
 
 
+@query(O.SWEEP_EXCLUSIVE)
+def threshold_sweep_exclusive(spark, sf_dir):
+    keyed, scored, gold = _scored(spark, sf_dir)
+    return evaluation.sweep(_entities(keyed), scored, gold, True).select("threshold", F.round("f05", 6).alias("f05"))
+
+
 @query(O.BEST_THRESHOLD)
 def best_threshold(spark, sf_dir):
     return evaluation.best_threshold(threshold_sweep(spark, sf_dir))
@@ -248,8 +257,56 @@ def predicted_singletons(spark, sf_dir):
 @query(O.LABELS)
 def pair_labels(spark, sf_dir):
     keyed = _keyed(spark, sf_dir)
-    truth = _gold(keyed).withColumn("g", F.lit(1))
-    return _pairs(keyed).join(truth, ["i", "j"], "left").select("i", "j", F.coalesce("g", F.lit(0)).alias("label"))
+    return linkage.labelled(_pairs(keyed), _gold(keyed)).select("i", "j", "label")
+
+
+@query(O.SPLIT)
+def sample_and_split(spark, sf_dir):
+    """200 reference ids in hash order, a fifth of them for validation."""
+    chosen = model.sample(er_records(spark, sf_dir).where("is_ref"), 200, 42)
+    parts = model.split(chosen, 0.2, 42)
+    return parts[0].withColumn("part", F.lit("train")).union(parts[1].withColumn("part", F.lit("val")))
+
+
+@query(O.SOURCES)
+def tsv_round_trip(spark, sf_dir):
+    """The records written as the three source files and read again; place: the row in its file."""
+    blank = lambda c: F.translate(c, "\t", " ").alias(c)
+    rec = er_records(spark, sf_dir).select("entity_id", blank("business_name"), blank("business_address"), "country", "is_ref", F.col("entity_id").alias("ord"), F.substring("entity_id", 2, 1).cast("int").alias("source"))
+    folder = shared.work_path(spark)
+    tsv.write_sources(rec.where("is_ref"), rec.where("not is_ref"), folder, "all")
+    s1, pool = tsv.read_sources(spark, folder, "all")
+    read = s1.withColumn("source", F.lit(1)).unionByName(pool)
+    place = F.row_number().over(Window.partitionBy("source").orderBy("ord")) - 1
+    return read.select(*tsv.SOURCE_COLUMNS, "source", place.cast("long").alias("place"))
+
+
+def _fitted(spark, sf_dir, iterations=10):
+    """Scored pairs of the validation ids by a model that saw the other ids only."""
+    keyed = _keyed(spark, sf_dir)
+    gold = _gold(keyed)
+    fit_ids, val_ids = model.split(keyed.where("is_ref").select("entity_id"), 0.2, 42)
+    pairs = linkage.labelled(features.pair_features(_pairs(keyed), keyed), gold).persist()
+    mine = lambda ids: pairs.join(ids.select(F.col("entity_id").alias("i")), "i", "left_semi")
+    return keyed, gold, val_ids, model.score(model.fit(mine(fit_ids), 42, iterations), mine(val_ids)).persist()
+
+
+@query(None)
+def model_scores(spark, sf_dir):
+    """Probabilities of held-out pairs (ten rounds of boosting; the command line's default is more)."""
+    return _fitted(spark, sf_dir)[3]
+
+
+@query(None)
+def validation_report(spark, sf_dir):
+    """Tuned threshold and macro scores on the held-out ids, in all and by country."""
+    keyed, gold, val_ids, scored = _fitted(spark, sf_dir)
+    entities = _entities(keyed).join(val_ids, "entity_id", "left_semi")
+    mine = gold.join(val_ids.select(F.col("entity_id").alias("i")), "i", "left_semi")
+    best = evaluation.best_threshold(evaluation.sweep(entities, scored, mine, True)).first()["threshold"]
+    scores = evaluation.entity_scores(entities, evaluation.select(scored, best, True), mine).persist()
+    parts = [evaluation.macro(scores).withColumn("country", F.lit("all")), evaluation.macro(scores, "country")]
+    return parts[0].unionByName(parts[1]).withColumn("threshold", F.lit(best))
 
 
 def _broken(spark, sf_dir):

@@ -3,8 +3,9 @@
 A word is the bag of its hashed character n-grams (and itself), a window of
 words is the mean of its words' mean n-gram vectors, and a linear softmax over
 that mean gives the class. Embeddings and softmax are trained jointly in numpy
-on a bounded sample of labelled rows; a misspelling never seen shares most of
-its n-grams, and so their vectors, with words that were.
+on a bounded sample of labelled rows, at most ``MAX_WORDS`` words of each; a
+misspelling never seen shares most of its n-grams, and so their vectors, with
+words that were.
 
 A label speaks of a whole document while a few words may earn it. So a document
 counts by its highest window, both in training (the windows are chosen anew in
@@ -14,7 +15,8 @@ sample calibrates the document score.
 Defined results: a null text is the empty text; a text without words has the
 score of an empty window; no labelled rows, or rows of one class only, give a
 score of 0 to every document; rows repeated in the labels count once (the
-higher label); null labels are ignored; extra columns are ignored.
+higher label); null labels are ignored; rows of a null doc_id are scored, never
+learnt from, and not held out; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,10 +37,11 @@ from .tokens import slices
 BUCKET_BITS = 19
 DIM = 8
 WINDOW, STRIDE = 8, 4
-#: Labelled rows of each class that training may gather: its only bound.
+#: Labelled rows of each class that training may gather, and words of each row: its only bounds. Scoring has none.
 MAX_POSITIVE, MAX_NEGATIVE = 2000, 3000
+MAX_WORDS, BLOCK_WORDS = 2048, 128
 THRESHOLD = 0.7
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 LOW, HIGH = 3, 6
 #: Characters above which a run is split, and those of a part: about two words, so that a window spans as much text as elsewhere.
 LONG_RUN, PART = 64, 16
@@ -99,16 +102,18 @@ class _Sample:
     """Labelled documents as windows over a vocabulary with n-gram lists."""
 
     def __init__(self, texts: list[str], labels: np.ndarray):
-        self.labels, vocabulary, rows = labels, {"": 0}, []
-        self.doc, lists = [], [np.zeros(0, np.int64)]
-        for d, text in enumerate(texts):
-            ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)], np.int64)
-            for s in window_starts(len(ids)):
-                part = ids[s:s + WINDOW]
-                rows.append(np.pad(part, (0, WINDOW - len(part))))
-                self.doc.append(d)
-        lists += [np.array(ngram_ids(w), np.int64) for w in list(vocabulary)[1:]]
-        self.windows, self.doc = np.array(rows).reshape(-1, WINDOW), np.array(self.doc)
+        self.labels = labels
+        vocabulary: dict[str, int] = {"": 0}
+        codes = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)], np.int32) for text in texts]
+        sizes = np.array([len(c) for c in codes])
+        words = np.concatenate([*codes, np.zeros(WINDOW, np.int32)])
+        counts = np.array([len(window_starts(n)) for n in sizes])
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
+        begin = np.cumsum(sizes) - sizes
+        nth = np.arange(len(self.doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+        place = (begin[self.doc] + STRIDE * nth)[:, None] + np.arange(WINDOW)
+        self.windows = np.where(place < (begin + sizes)[self.doc][:, None], words[np.minimum(place, len(words) - 1)], 0).astype(np.int32)
+        lists = [np.zeros(0, np.int32)] + [np.array(ngram_ids(w), np.int32) for w in list(vocabulary)[1:]]
         self.sizes = np.array([len(x) for x in lists])
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         self.grams = np.concatenate(lists)
@@ -125,7 +130,7 @@ class _Sample:
     def logits(self, evidence: np.ndarray, bias: float) -> np.ndarray:
         sums = np.concatenate([[0.0], np.cumsum(evidence[self.grams])])
         score = (sums[self.starts[1:]] - sums[self.starts[:-1]]) / np.maximum(self.sizes, 1)
-        return score[self.windows].sum(1) / WINDOW + bias
+        return sum(score[self.windows[:, k]] for k in range(WINDOW)) / WINDOW + bias
 
     def highest(self, logits: np.ndarray) -> np.ndarray:
         """The window of highest logit of each document."""
@@ -145,9 +150,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 10,
     if fit.labels.min() == fit.labels.max():
         return None
     n = 1 << BUCKET_BITS
-    vectors = rng.normal(0, 0.1, (n, DIM))
+    vectors = rng.normal(0, 0.1, (n, DIM)).astype(np.float32)
     softmax, offset = rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
-    seen, seen_soft = np.full(n, 1e-5), 1e-6
+    seen, seen_soft = np.full(n, 1e-5, np.float32), 1e-6
     window_label = fit.labels[fit.doc]
     for r in range(rounds):
         logits = fit.logits(vectors @ (softmax[:, 1] - softmax[:, 0]), offset[1] - offset[0])
@@ -176,6 +181,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 10,
             softmax -= rate * 0.1 * at_soft / np.sqrt(seen_soft)
             offset -= rate * 0.05 * p.mean(0)
     evidence, bias = vectors @ (softmax[:, 1] - softmax[:, 0]), float(offset[1] - offset[0])
+    del fit, vectors, seen
     rest = _Sample([t for t, h in zip(texts, held, strict=True) if h], y[held])
     logit = rest.logits(evidence, bias)
     slope, shift = _calibrate(logit[rest.highest(logit)], rest.labels)
@@ -197,16 +203,34 @@ def _calibrate(z: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, f
     return max(float(a), 0.05), float(b)
 
 
+def excerpt(text: str, most: int = MAX_WORDS, block: int = BLOCK_WORDS) -> str:
+    """The words of a text; of a longer one, whole blocks of neighbouring words, in hash order up to ``most`` words, where they stand."""
+    words = words_of(text)
+    if len(words) <= most:
+        return " ".join(words)
+    blocks = [" ".join(words[k:k + block]) for k in range(0, len(words), block)]
+    chosen = sorted(range(len(blocks)), key=lambda k: (zlib.crc32(blocks[k].encode("utf-8", "replace")), k))[:most // block]
+    return " ".join(blocks[k] for k in sorted(chosen))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> tuple[list[str], list[int]]:
-    """Texts and labels of a bounded sample in hash order, never of rows whose crc32(doc_id) mod 3 is 1."""
+    """Excerpts and labels of a bounded sample in hash order, never of rows whose crc32(doc_id) mod 3 is 1."""
     key = F.col("doc_id").cast("long")
     usable = labels.select(key.alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     usable = usable.groupBy("doc_id").agg(F.max("label").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = usable.where("label = 1").orderBy(*order).limit(max_positive).union(usable.where("label = 0").orderBy(*order).limit(max_negative))
-    rows = id_and_text(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
-    return [r["text"] for r in rows], [r["label"] for r in rows]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([excerpt(t.as_py()) for t in batch.column("text")], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts, batch.column("label")], names=["doc_id", "text", "label"])
+
+    # Rows that share a labelled id are one: the first by hash of the text, so that the bound holds.
+    rows = id_and_text(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label").mapInArrow(cut, "doc_id long, text string, label int")
+    first = rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "label"), F.xxhash64("text")).alias("row")).select("doc_id", "row.text", "row.label").collect()
+    first.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
+    return [r["text"] for r in first], [r["label"] for r in first]
 
 
 def held_out(column: str = "doc_id"):

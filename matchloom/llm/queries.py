@@ -20,7 +20,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(documents(spark, sf_dir))
+    return suffix_dedup.dedup(documents(spark, sf_dir), passage=suffix_dedup.PASSAGE)
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

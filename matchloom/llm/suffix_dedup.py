@@ -10,34 +10,45 @@ suffixes are sorted, one bucket at a time.
    k-gram's hash is a bucket that brings all suffixes with a common window
    together. A run's text, from its first window's first byte to its last
    window's last, is its context. Runs are counted by (bucket, context hash)
-   before any text moves: equal contexts are repeats of each other, a bucket
+   before any text moves: of equal contexts one is sorted for all, a bucket
    with one context needs no sorting, and only a representative of each other
    context sends its text.
 2. Sorting (``repeated_suffixes``). A task lays the contexts of its buckets
    out as one text and ranks the positions of a difference cover modulo 16 by
-   prefix doubling to 384 bytes. Then it takes one block of suffixes of equal
-   leading bytes after another and sorts it: first 16 bytes, then, as any two
-   suffixes have a common shift below 16 at which both lie in the cover sample,
-   the ranks of the sample there, then the last 16 bytes.
-3. A bucket of more than ``HOT_CONTEXTS`` contexts would be one task's burden.
-   Its contexts are cut into cells of ``CELL`` windows at like distances from
-   the k-gram; the bytes that all windows of a cell hold split the bucket, and
-   what still shares them is told apart by window fingerprints in a grouped
-   count.
-
-Hashes have 64 bits twice (bucket and context, or bucket and window), so equal
-means equal but for a collision of 128 bits.
+   prefix doubling to ``length`` less 16 bytes. Then it takes one block of
+   suffixes of equal leading bytes after another and sorts it: first 16 bytes,
+   then, as any two suffixes have a common shift below 16 at which both lie in
+   the cover sample, the ranks of the sample there, then the last 16 bytes.
+3. A bucket of more than ``BUCKET_CONTEXTS`` differing contexts is split before
+   it is sorted, as often as needed (``_split``): equal windows lie at equal
+   distances from the k-gram, so contexts are cut into cells of ``CELL`` windows
+   at like distances, and the bytes that all windows of a cell hold make a
+   bucket of their own. Equal parts are merged again, what remains is sorted
+   the same way, and a bucket still too large is split into smaller cells. With
+   cells of one window every bucket holds one part, so this ends, and no task
+   sorts more than a bounded bucket, however many copies a group has.
+
+Two scales in one call: with ``passage`` below ``length`` the same work is done
+at the smaller scale first; strings of ``length`` bytes that repeat lie inside
+what repeats there, so the second pass looks at those spans alone.
+
+Rows are told apart by doc_id and 64 bits of their text's hash (null ids: by
+128 bits of it). Hashes have 64 bits twice (bucket and context, or bucket and
+part), so equal means equal but for a collision of 128 bits.
 
 Defined results: a null text is the empty text; texts shorter than ``length``
 lose nothing; repeated rows are copies of each other and lose all their
-windows; an empty table gives no rows; null ids are treated as id -1; extra
-columns are ignored.
+windows; a null doc_id stays null, and rows of null or shared ids count as the
+documents that they are; an empty table gives no rows; extra columns are
+ignored, whatever their names (``dedup`` with ``with_text`` carries them in
+``rest``).
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -49,12 +60,14 @@ from .common import materialize, small_batches, text_column
 from .simhash import whole_runs
 
 LENGTH = 400
-#: Bytes of the k-gram that names a bucket.
-GRAM = 160
-#: Contexts of a bucket that one task sorts.
-HOT_CONTEXTS = 256
-#: Window starts of a cell of a hot bucket.
-CELL = 32
+#: Bytes of a repeated passage: no more than 51 words of running text take, about.
+PASSAGE = 240
+#: Bytes of the k-gram that names a bucket, for windows of ``length`` bytes.
+GRAM = 48
+#: Differing contexts of a bucket that are sorted together; larger buckets are split.
+BUCKET_CONTEXTS = 128
+#: Window starts of a cell in the first split of a bucket, and by how much each further split divides them.
+CELL, FINER = 32, 4
 #: Text that is ranked at once, and suffixes of a block.
 RANKED_BYTES, BLOCK_SUFFIXES = 4 << 20, 1 << 17
 #: Window starts of a long text that are scanned at once.
@@ -185,37 +198,50 @@ def _sort_block(block: np.ndarray, suffix: np.ndarray, head: np.ndarray, rank: n
         found[block[own[order[:-1][same]]]] = True
 
 
-def runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(id, place, kh, ch): every run of window starts by bucket and context hash. place: text check, start and size."""
+def runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(id, mark, place, kh, ch): every run of window starts by bucket and context hash, inside ``spans`` where texts have such a column. place: start and size."""
+    spans_at = texts.columns.index("spans") if "spans" in texts.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
+        import zstandard
 
-        hash64 = xxhash.xxh3_64_intdigest
+        hash64, unpress = xxhash.xxh3_64_intdigest, zstandard.ZstdDecompressor()
         for batch in batches:
-            ids, checks, texts = batch.column("id").to_pylist(), batch.column("tag").to_pylist(), batch.column("text").cast(pa.binary())
-            out: list[tuple[int, int, int, int]] = []
-            for i, check, text in zip(ids, checks, texts, strict=True):
+            ids, marks = batch.column("id").to_pylist(), batch.column("mark").to_pylist()
+            out: list[tuple[int, int, int, int, int]] = []
+            for n, (i, mark, text) in enumerate(zip(ids, marks, batch.column(2).cast(pa.binary()), strict=True)):
                 data = text.as_py()
-                for start, size, at in window_runs(data, length, gram):
-                    out.append((i, check << 48 | start << 18 | size - 1, hash64(data[at:at + gram]), hash64(data[start:start + size + length - 1], at - start)))
+                if spans_at is None:
+                    spans = [(0, len(data))]
+                else:
+                    data = unpress.decompress(data)
+                    ends = batch.column(spans_at)[n].as_py()
+                    spans = list(zip(ends[::2], ends[1::2], strict=True))
+                for lo, hi in spans:
+                    part = data[lo:hi]
+                    for start, size, at in window_runs(part, length, gram):
+                        out.append((i, mark, (lo + start) << 18 | size - 1, hash64(part[at:at + gram]), hash64(part[start:start + size + length - 1], at - start)))
                 if len(out) > 50_000:
                     yield _longs(out)
                     out = []
             if out:
                 yield _longs(out)
 
-    return docs.mapInArrow(run, "id long, place long, kh long, ch long")
+    return texts.mapInArrow(run, "id long, mark long, place long, kh long, ch long")
+
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 == 1 else x
 
-def _longs(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    table = np.array(rows, dtype=object).T
-    columns = [pa.array(np.array([x - (1 << 64) if x >> 63 == 1 else x for x in c], np.int64)) for c in table]
-    return pa.RecordBatch.from_arrays(columns, names=["id", "place", "kh", "ch"])
+
+def _longs(rows: list[tuple[int, ...]]) -> pa.RecordBatch:
+    columns = [pa.array(np.array([_signed(x) for x in c], np.int64)) for c in zip(*rows, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "mark", "place", "kh", "ch"])
 
 
 def _unpack(place: int) -> tuple[int, int]:
-    return place >> 18 & (1 << 30) - 1, (place & (1 << 18) - 1) + 1
+    return place >> 18, (place & (1 << 18) - 1) + 1
 
 
 def _lead(context: bytes, kh: int, gram: int) -> int:
@@ -227,11 +253,11 @@ def _lead(context: bytes, kh: int, gram: int) -> int:
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, id, tag, text, rest): what identifies a row, and the other columns; tag tells apart different texts that share an id."""
+    """(doc_id, id, mark, text, rest): id and mark identify a row but for equal ones, rest holds the other columns."""
     small_batches(docs.sparkSession)
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(None).cast("int").alias("none")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"), F.struct(*others).alias("rest"))
-    return rows.select("doc_id", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.xxhash64("text").bitwiseAND(0x7FFF).alias("tag"), "text", "rest")
+    return rows.select("doc_id", F.coalesce("doc_id", F.xxhash64(F.lit("no id"), "text")).alias("id"), F.xxhash64("text").alias("mark"), "text", "rest")
 
 
 def _packed(texts: DataFrame) -> DataFrame:
@@ -252,20 +278,30 @@ def _packed(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, StructType([f if f.name != "text" else StructField("z", BinaryType()) for f in texts.schema.fields]))
 
 
-def repeated_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(id, tag, marks array<struct<place, bits>>): runs holding repeated windows; bits null: all of them."""
-    spark = texts.sparkSession
-    own = materialize(runs(texts.select("id", "tag", "text"), length, gram))
-    contexts = materialize(own.groupBy("kh", "ch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "place")).alias("first")))
+_MARKS = "kh long, ch long, k int, size int, bits binary"
+_PARTS = "key long, ph long, kh long, ch long, k int, size int, lead int, known boolean, part binary"
+
+
+def repeated_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, within: DataFrame | None = None) -> DataFrame:
+    """(id, mark, marks array<struct<place, bits>>): runs holding repeated windows; bits null: all of them.
+
+    ``within``: (id, mark, spans) outside of which nothing repeats.
+    """
+    copies = _packed(texts.select("id", "mark", "text"))
+    if within is None:
+        scanned = texts.select("id", "mark", "text")
+    else:
+        scanned = copies.join(within, ["id", "mark"]).select("id", "mark", "z", "spans")
+    own = materialize(runs(scanned, length, gram))
+    contexts = materialize(own.groupBy("kh", "ch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "mark", "place")).alias("first")))
     buckets = materialize(contexts.groupBy("kh").agg(F.count(F.lit(1)).alias("n_contexts"), F.sum("n").alias("n_runs")).where("n_runs > 1").select("kh", "n_contexts"))
     shared = materialize(contexts.join(buckets, "kh"))
     whole = shared.where("n > 1").select("kh", "ch", F.lit(None).cast("binary").alias("bits"))
     wanted = shared.where("n_contexts > 1").select(
-        F.col("first.id").alias("id"), F.shiftright("first.place", 48).alias("tag"),
-        F.struct("kh", "ch", F.col("first.place").alias("place"), (F.col("n") > 1).alias("known"), (F.col("n_contexts") > HOT_CONTEXTS).alias("hot")).alias("r"),
+        "first.id", "first.mark",
+        F.struct("kh", "ch", F.col("first.place").alias("place"), (F.col("n") > 1).alias("known"), (F.col("n_contexts") > BUCKET_CONTEXTS).alias("hot")).alias("r"),
     )
-    asked = wanted.groupBy("id", "tag").agg(F.collect_list("r").alias("rs"))  # of one document: bounded by its length
-    copies = _packed(texts.select("id", "tag", "text"))
+    asked = wanted.groupBy("id", "mark").agg(F.collect_list("r").alias("rs"))  # of one document: bounded by its length
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -278,86 +314,118 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 for r in rs:
                     start, size = _unpack(r["place"])
                     context = data[start:start + size + length - 1]
-                    rows.append((r["kh"], r["ch"], size, _lead(context, r["kh"], gram) if r["hot"] else 0, r["known"], r["hot"], context))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kh", "ch", "size", "lead", "known", "hot", "context"])
+                    rows.append((r["kh"], r["ch"], r["kh"], r["ch"], 0, size, _lead(context, r["kh"], gram) if r["hot"] else 0, r["known"], context, r["hot"]))
+            yield _part_rows(rows, hot=True)
+
+    # Equal rows have the same contexts: one of them answers.
+    cuts = materialize(copies.dropDuplicates(["id", "mark"]).join(asked, ["id", "mark"]).select("z", "rs").mapInArrow(cut, _PARTS + ", hot boolean"))
+    found = [_sorted(cuts.where("not hot").drop("hot"), length), *_split(cuts.where("hot").drop("hot"), length, CELL)]
+    bits = _run_bits(reduce(DataFrame.union, found))
+    flagged = materialize(whole.union(bits))
+    marked = own.join(flagged, ["kh", "ch"]).select("id", "mark", F.struct("place", "bits").alias("m"))
+    return marked.groupBy("id", "mark").agg(F.collect_list("m").alias("marks"))
+
+
+def _part_rows(rows: list[tuple], hot: bool = False) -> pa.RecordBatch:
+    types = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.bool_(), pa.binary()] + [pa.bool_()] * hot
+    columns = list(zip(*rows, strict=True)) or [()] * len(types)
+    names = ["key", "ph", "kh", "ch", "k", "size", "lead", "known", "part"] + ["hot"] * hot
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
 
-    cuts = materialize(copies.join(asked, ["id", "tag"]).select("z", "rs").mapInArrow(cut, "kh long, ch long, size int, lead int, known boolean, hot boolean, context binary"))
+def _sorted(parts: DataFrame, length: int) -> DataFrame:
+    """Marks of parts that aren't known to repeat, by suffix sorting within each key."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_runs(batches, ["kh"], 2048):
-            kh = table.column("kh").to_numpy()
-            sizes = np.cumsum([len(c.as_py()) for c in table.column("context")])
-            first = np.concatenate([[0], np.flatnonzero(kh[1:] != kh[:-1]) + 1, [len(kh)]])
+        for table in whole_runs(batches, ["key"], 2048):
+            key, size = table.column("key").to_numpy(), table.column("size").to_numpy()
+            ends = np.cumsum([len(c.as_py()) for c in table.column("part")])
+            first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
             at = 0
             while at < len(first) - 1:  # whole buckets of bounded text
-                base = sizes[first[at] - 1] if first[at] else 0
-                to = max(at + 1, int(np.searchsorted(sizes[first[1:] - 1], base + RANKED_BYTES, "right")))
-                part = table.slice(first[at], first[to] - first[at])
-                marks = repeated_suffixes([c.as_py() for c in part.column("context")], part.column("size").to_numpy().astype(np.int64), length)
-                known = part.column("known").to_pylist()
+                base = ends[first[at] - 1] if first[at] else 0
+                to = max(at + 1, int(np.searchsorted(ends[first[1:] - 1], base + RANKED_BYTES, "right")))
+                lo, hi = first[at], first[to]
+                marks = repeated_suffixes([c.as_py() for c in table.column("part").slice(lo, hi - lo)], size[lo:hi].astype(np.int64), length)
+                known = table.column("known").slice(lo, hi - lo).to_pylist()
                 keep = [k for k, m in enumerate(marks) if not known[k] and m.any()]
-                bits = [np.packbits(marks[k]).tobytes() for k in keep]
-                yield pa.RecordBatch.from_arrays([pa.array(part.column("kh").to_numpy()[keep], pa.int64()), pa.array(part.column("ch").to_numpy()[keep], pa.int64()), pa.array(bits, pa.binary())], names=["kh", "ch", "bits"])
+                rows = table.slice(lo, hi - lo).select(["kh", "ch", "k", "size"]).take(pa.array(keep, pa.int64())).combine_chunks()
+                bits = pa.array([np.packbits(marks[k]).tobytes() for k in keep], pa.binary())
+                yield from rows.append_column("bits", bits).to_batches()
                 at = to
 
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cold = cuts.where("not hot").select("kh", "ch", "size", "known", "context")
-    sorted_bits = cold.repartition(width, "kh").sortWithinPartitions("kh", "ch").mapInArrow(sort, "kh long, ch long, bits binary")
-    flagged = materialize(whole.union(sorted_bits).union(_hot_bits(cuts.where("hot"), length)))
-    marked = own.join(flagged, ["kh", "ch"]).select("id", F.shiftright("place", 48).alias("tag"), F.struct("place", "bits").alias("m"))
-    return marked.groupBy("id", "tag").agg(F.collect_list("m").alias("marks"))
+    width = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.select("key", "ph", "kh", "ch", "k", "size", "known", "part").repartition(width, "key").sortWithinPartitions("key", "ph").mapInArrow(sort, _MARKS)
 
 
-def _hot_bits(cuts: DataFrame, length: int) -> DataFrame:
-    """Marks of contexts in very large buckets, by cells and then by counts of window fingerprints."""
+def _split(parts: DataFrame, length: int, cell: int) -> list[DataFrame]:
+    """Marks of the parts of too large buckets: cut into cells, equal ones merged, sorted, or split again."""
+    if parts.isEmpty():
+        return []
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        hash64 = xxhash.xxh3_64_intdigest
         for batch in batches:
             out = []
-            for kh, ch, size, lead, known, data in zip(*(batch.column(c).to_pylist() for c in ("kh", "ch", "size", "lead", "known", "context")), strict=True):
-                k = 0
+            for r in batch.to_pylist():
+                size, lead, data, k = r["size"], r["lead"], r["part"], 0
                 while k < size:
-                    cell = (lead - k) // CELL  # the k-gram lies ``lead - k`` bytes behind this window's start
-                    end = min(size, lead - cell * CELL + 1)
-                    first = lead - cell * CELL - CELL + 1  # the whole cell's first window, before the context perhaps
-                    core = data[max(0, first + CELL - 1):first + length]
-                    out.append((kh, ch, k, end - k, known, xxhash.xxh3_64_intdigest(core, cell & 0xFFFF), data[k:end + length - 1]))
+                    number = (lead - k) // cell  # the k-gram lies ``lead - k`` bytes behind this window's start
+                    end = min(size, lead - number * cell + 1)
+                    first = lead - number * cell - cell + 1  # the whole cell's first window, before the part perhaps
+                    core, own = data[max(0, first + cell - 1):first + length], data[k:end + length - 1]
+                    key = hash64(core, r["kh"] % (1 << 64) ^ number)
+                    out.append((_signed(key), _signed(hash64(own, lead - k)), r["kh"], r["ch"], r["k"] + k, end - k, lead - k, r["known"], own))
                     k = end
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            core = np.array(columns[5], np.uint64).astype(np.int64)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=False)), pa.array(core), pa.array(columns[6], pa.binary())], names=["kh", "ch", "k", "size", "known", "core", "part"])
+            yield _part_rows(out)
 
-    parts = materialize(cuts.select("kh", "ch", "size", "lead", "known", "context").mapInArrow(cells, "kh long, ch long, k int, size int, known boolean, core long, part binary"))
-    shared = materialize(parts.groupBy("kh", "core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kh", "core"))
+    cut = materialize(parts.mapInArrow(cells, _PARTS))
+    equal = cut.groupBy("key", "ph").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("kh", "ch", "k")).alias("first"))
+    equal = materialize(equal)
+    sizes = materialize(equal.groupBy("key").agg(F.count(F.lit(1)).alias("n_parts"), F.sum("n").alias("n_all")).where("n_all > 1").select("key", "n_parts"))
+    shared = materialize(equal.join(sizes, "key").select("key", "ph", "n", "first", "n_parts"))
+    copied = cut.where("not known").join(shared.where("n > 1").select("key", "ph"), ["key", "ph"]).select("kh", "ch", "k", "size", F.lit(None).cast("binary").alias("bits"))
+    chosen = shared.where("n_parts > 1").select("key", "ph", "first.*", (F.col("n") > 1).alias("copied"), (F.col("n_parts") > BUCKET_CONTEXTS).alias("hot"))
+    rest = cut.join(chosen, ["key", "ph", "kh", "ch", "k"]).withColumn("known", F.col("known") | F.col("copied"))
+    rest = materialize(rest.select(*cut.columns, "hot"))
+    return [copied, _sorted(rest.where("not hot").drop("hot"), length), *_split(rest.where("hot").drop("hot"), length, max(1, cell // FINER))]
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
-        hash64 = xxhash.xxh3_64_intdigest
+def _run_bits(marks: DataFrame) -> DataFrame:
+    """(kh, ch, bits): the marks of a run's parts put together."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for kh, ch, k, size, known, data in zip(*(batch.column(c).to_pylist() for c in ("kh", "ch", "k", "size", "known", "part")), strict=True):
-                prints = np.array([hash64(data[i:i + length]) for i in range(size)], np.uint64).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([kh] * size), pa.array([ch] * size), pa.array(range(k, k + size), pa.int32()), pa.array([known] * size), pa.array(prints)], names=["kh", "ch", "k", "known", "w"])
+            out = []
+            for ms in batch.column("ms").to_pylist():
+                bits = np.zeros(max(m["k"] + m["size"] for m in ms), bool)
+                for m in ms:
+                    own = np.ones(m["size"], bool) if m["bits"] is None else np.unpackbits(np.frombuffer(m["bits"], np.uint8), count=m["size"]) > 0
+                    bits[m["k"]:m["k"] + m["size"]] |= own
+                out.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("kh"), batch.column("ch"), pa.array(out, pa.binary())], names=["kh", "ch", "bits"])
+
+    by_run = marks.groupBy("kh", "ch").agg(F.collect_list(F.struct("k", "size", "bits")).alias("ms"))  # of a run: fewer than ``length``
+    return by_run.mapInArrow(join, "kh long, ch long, bits binary")
+
 
-    rows = materialize(parts.join(shared, ["kh", "core"]).select("kh", "ch", "k", "size", "known", "part").mapInArrow(windows, "kh long, ch long, k int, known boolean, w long"))
-    twice = materialize(rows.groupBy("kh", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kh", "w"))
-    marked = rows.where("not known").join(twice, ["kh", "w"]).groupBy("kh", "ch").agg(F.collect_list("k").alias("ks"))  # a run's windows: fewer than ``length``
+def covered_spans(texts: DataFrame, marks: DataFrame, length: int, least: int) -> DataFrame:
+    """(id, mark, spans: start, end, start, end ...): what repeated windows cover, from ``least`` bytes on."""
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for ks in batch.column("ks").to_pylist():
-                marks = np.zeros(max(ks) + 1, bool)
-                marks[ks] = True
-                out.append(np.packbits(marks).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("kh"), batch.column("ch"), pa.array(out, pa.binary())], names=["kh", "ch", "bits"])
+            for n, own in zip(batch.column("n").to_pylist(), batch.column("marks").to_pylist(), strict=True):
+                gone = removed_bytes(n, own, length)
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2)
+                out.append(edges[edges[:, 1] - edges[:, 0] >= least].ravel().tolist())
+            table = pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(out, pa.list_(pa.int64()))], names=["id", "mark", "spans"])
+            yield table.filter(pa.array([bool(x) for x in out], pa.bool_()))
 
-    return marked.mapInArrow(bits, "kh long, ch long, bits binary")
+    sizes = texts.select("id", "mark", F.octet_length("text").alias("n")).dropDuplicates(["id", "mark"])
+    return sizes.join(marks, ["id", "mark"]).mapInArrow(run, "id long, mark long, spans array<long>")
 
 
 def removed_bytes(n: int, marks: list[dict] | None, length: int = LENGTH) -> np.ndarray:
@@ -386,15 +454,22 @@ def whole_characters(data: bytes, gone: np.ndarray) -> np.ndarray:
     return ~stays[character]
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """Per document: n_bytes, n_removed, n_spans, kept_sha256; ``with_text`` adds what is left as text (whole characters only) and the other columns as rest."""
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, passage: int | None = None) -> DataFrame:
+    """Per document: n_bytes, n_removed, n_spans, kept_sha256; with ``passage``, also n_passage, the bytes that repeated
+    strings of that smaller length cover; ``with_text`` adds what is left as text (whole characters only) and the other columns as rest."""
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-    if length % PERIOD or length < 2 * PERIOD or not 0 < gram < length:
-        raise ValueError(f"length must be a multiple of {PERIOD} from {2 * PERIOD} on, and gram shorter than it")
+    if any(x % PERIOD or x < 2 * PERIOD for x in (length, passage or length)) or not 0 < gram < min(length, passage or length) or (passage or 0) > length:
+        raise ValueError(f"length and passage must be multiples of {PERIOD} from {2 * PERIOD} on, the passage not above length, and gram shorter than both")
     texts = keyed_texts(docs)
-    marks = repeated_runs(texts, length, gram)
+    if passage:
+        short = materialize(repeated_runs(texts, passage, gram))
+        long_ = repeated_runs(texts, length, gram, covered_spans(texts, short, passage, length))
+        marks = short.withColumnRenamed("marks", "short").join(long_, ["id", "mark"], "left")
+    else:
+        marks = repeated_runs(texts, length, gram)
     fields = [StructField(n, LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [StructField("kept_sha256", StringType())]
+    fields += [StructField("n_passage", LongType())] * bool(passage)
     if with_text:
         fields += [StructField("text", StringType()), texts.schema["rest"]]
 
@@ -404,20 +479,26 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for doc, z, own in zip(batch.column("doc_id").to_pylist(), batch.column("z"), batch.column("marks").to_pylist(), strict=True):
+            shorts = batch.column("short").to_pylist() if passage else [None] * batch.num_rows
+            for doc, z, own, short in zip(batch.column("doc_id").to_pylist(), batch.column("z"), batch.column("marks").to_pylist(), shorts, strict=True):
                 data = unpress.decompress(z.as_py())
-                gone = removed_bytes(len(data), own, length)
-                whole = np.frombuffer(data, np.uint8)
-                spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                row = (doc, len(data), int(gone.sum()), spans, hashlib.sha256(whole[~gone].tobytes()).hexdigest())
+                if own:
+                    gone = removed_bytes(len(data), own, length)
+                    whole = np.frombuffer(data, np.uint8)
+                    spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+                    row = (doc, len(data), int(gone.sum()), spans, hashlib.sha256(whole[~gone].tobytes()).hexdigest())
+                else:
+                    spans, row = 0, (doc, len(data), 0, 0, hashlib.sha256(data).hexdigest())
+                if passage:
+                    row += (int(removed_bytes(len(data), short, passage).sum()) if short else 0,)
                 if with_text:
                     row += ((whole[~whole_characters(data, gone)].tobytes() if spans else data).decode("utf-8", "replace"),)
                 rows.append(row)
-            columns = list(zip(*rows, strict=True)) or [()] * (5 + with_text)
-            types = [pa.int64()] * 4 + [pa.string()] * (1 + with_text)
+            columns = list(zip(*rows, strict=True)) or [()] * (5 + bool(passage) + with_text)
+            types = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * bool(passage) + [pa.string()] * with_text
             rest = [batch.column("rest")] if with_text else []
             yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), *rest], names=[f.name for f in fields])
 
-    carried = ["doc_id", "id", "tag", "text"] + ["rest"] * with_text
-    joined = _packed(texts.select(*carried)).join(marks, ["id", "tag"], "left").select("doc_id", "z", "marks", *["rest"] * with_text)
-    return joined.mapInArrow(apply, StructType(fields))
+    carried = ["doc_id", "id", "mark", "text"] + ["rest"] * with_text
+    joined = _packed(texts.select(*carried)).join(marks, ["id", "mark"], "left")
+    return joined.select("doc_id", "z", "marks", *["short"] * bool(passage), *["rest"] * with_text).mapInArrow(apply, StructType(fields))

@@ -18,13 +18,13 @@ from matchloom.llm.common import documents, materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, trained on the labelled ones among them, does not reject."""
+    """Documents that the toxicity model, trained on the labelled ones among them, does not reject; rows of null ids and texts are judged like any other."""
     model = toxicity.train(*toxicity.labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return toxicity.accepted(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates."""
+    """One document, that of the smallest id (null last), of each group of near-duplicates; empty and null texts are one group."""
     return simhash.representatives(docs)
 
 
@@ -35,17 +35,17 @@ def _with_text(changed: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that occur more than once."""
-    return _with_text(suffix_dedup.dedup(docs, with_text=True), docs)
+    """Texts without the passages, of ``suffix_dedup.PASSAGE`` bytes or more, that occur more than once; a null text becomes the empty text."""
+    return _with_text(suffix_dedup.dedup(docs, suffix_dedup.PASSAGE, with_text=True), docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with every secret masked."""
+    """Texts with every secret masked; a null text becomes the empty text, rows of null ids are kept."""
     return _with_text(secret_scan.masked(secret_scan.scan(docs)), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in packed sequences."""
+    """Token pieces with their places in packed sequences; an empty text is one piece, a null id stays null."""
     return best_fit.pack_documents(docs)
 
 

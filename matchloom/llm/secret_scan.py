@@ -14,11 +14,14 @@ the plan as literals.
 
 Defined results: a null text is the empty text (no spans); an empty table
 gives no rows; repeated rows are kept; an empty training sample gives ratios
-of 0 and so no model spans; extra columns are ignored.
+of 0 and so no model spans; a null doc_id stays null; extra columns are
+ignored by ``digest`` and carried in ``rest`` by ``scan``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,8 @@ TOKEN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 #: Log-likelihood ratio per character (natural log) above which a token is random.
 RATIO = 0.5
 SPAN = "struct<start:int,end:int,rank:int,kind:string>"
+#: Items of a block of a scan, and code points of a piece of text.
+BLOCK, PIECE = 64, 4096
 
 
 def _possible(text: Column, kind: str, pattern: str) -> Column:
@@ -48,6 +53,39 @@ def _possible(text: Column, kind: str, pattern: str) -> Column:
     return text.contains("AKIA") if kind == "access" else text.rlike(pattern)
 
 
+def _scan(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """All outputs (arrays of ``kind``) of ``step`` over the items in turn: (state, item) -> (next state, outputs).
+
+    Outputs are gathered block by block, so that growing arrays stay short: the work is linear in the items for any real text.
+    """
+    none = F.expr(f"cast(array() as array<{kind}>)")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def one(acc: Column, item: Column) -> Column:
+        after, out = step(acc["state"], item)
+        return F.struct(after.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+    def block(acc: Column, own: Column) -> Column:
+        inner = F.aggregate(own, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return F.transform(F.array(inner), lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out")))[0]
+
+    start = F.struct(state.alias("state"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("out"))
+    return F.when(F.size(items) > 0, F.aggregate(blocks, start, block, lambda acc: F.flatten(acc["out"]))).otherwise(none)
+
+
+def _pieces(text: Column) -> Column:
+    """The text in pieces of ``PIECE`` code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """Code points [start, end) of a text given in pieces: reads those that it touches only."""
+    first = F.floor(start / PIECE).cast("int")
+    last = F.floor((end - 1) / PIECE).cast("int")
+    near = F.array_join(F.slice(pieces, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.substring(near, start - first * PIECE + 1, end - start)
+
+
 def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """Array of spans of one kind, by the lengths of gaps and matches."""
     expression = F.lit(pattern)
@@ -56,17 +94,16 @@ def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
     sizes = F.transform(found, F.char_length)
     measured = sizes if not group else F.transform(F.regexp_extract_all(text, expression, F.lit(group)), F.char_length)
     rank = KINDS.index(kind)
-    zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
 
-    def step(acc: Column, item: Column) -> Column:
-        start = acc["at"] + item["gap"]
+    def step(at: Column, item: Column) -> tuple[Column, Column]:
+        start = at + item["gap"]
         end = start + item["size"]
         span = F.struct(start.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(item["measured"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return end, F.when(item["measured"] >= least, F.array(span)).otherwise(none)
 
     items = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(sizes)).alias("gap"), sizes.alias("size"), measured.alias("measured"))
-    spans = F.aggregate(items, zero, step, lambda acc: acc["out"])
-    return F.when(_possible(text, kind, pattern), spans).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+    return F.when(_possible(text, kind, pattern), _scan(items, F.lit(0), step, SPAN)).otherwise(none)
 
 
 def labelled_sample(spark: SparkSession, n: int = 3000) -> DataFrame:
@@ -79,8 +116,8 @@ def labelled_sample(spark: SparkSession, n: int = 3000) -> DataFrame:
         F.substring(F.translate(F.base64(F.unhex(digest)), "+/=", ""), 5, 36),
         F.substring(F.translate(F.upper(F.base64(F.unhex(digest))), "+/=", ""), 3, 24),
     )).alias("token"), F.lit(True).alias("random"))
-    stems = F.array(*[F.lit(w) for w in _STEMS.split()])
-    pick = lambda salt: F.element_at(stems, (F.pmod(F.xxhash64(F.lit(salt), F.col("id")), F.lit(len(_STEMS.split()))) + 1).cast("int"))
+    words = F.array(*[F.lit(w) for w in _WORDS.split()])
+    pick = lambda salt: F.element_at(words, (F.pmod(F.xxhash64(F.lit(salt), F.col("id")), F.lit(len(_WORDS.split()))) + 1).cast("int"))
     a, b, c, d = (pick(k) for k in range(4))
     number = F.pmod(F.xxhash64("id"), F.lit(3000)).cast("string")
     plain = base.select(F.explode(F.array(
@@ -91,14 +128,17 @@ def labelled_sample(spark: SparkSession, n: int = 3000) -> DataFrame:
     return random.union(plain)
 
 
-#: Fixed words and endings of the ordinary sample, several languages.
-_STEMS = (
-    "data table index value request response handler manager service config user account session network machine learning "
-    "version number message string column filter window stream buffer thread process system memory storage object class method "
-    "function interface element container document language translation station nation information international responsibility "
-    "the and tion ing er re ment able ness ous ly est or ed es an in on at en he th wh sh ble nd st ea ha ti ou nt "
-    "ung keit heit lich schaft ver ge be ein auf aus zu ab über der die das und ist mit für nicht pf sch ch tz ei ie "
-    "que les des une dans pour avec ment eux eau elle oi tre ré té aux ai ch ou en on el los las con para ción dad mente ado ja lla rra que"
+#: Words of the ordinary sample: usual English words and terms of programs, and some of other languages in Latin letters.
+_WORDS = (
+    "data table index value request response handler manager service config user account session network machine learning version number message string "
+    "column filter window stream buffer thread process system memory storage object class method function interface element container document language "
+    "people water house children school mountain garden kitchen weather morning yesterday question answer friend brother sister teacher student journey "
+    "bridge castle flower window shadow summer winter spring thunder lightning history science music painting theatre library market kingdom government "
+    "between through against without because although whenever everything nothing something beautiful different important possible necessary available "
+    "running walking speaking thinking building writing reading jumping standing breathing happened wanted needed started finished decided remembered "
+    "Strasse Freiheit Wirtschaft Entwicklung zwischen schreiben verstehen Geschichte Zeitung Schule Kinder machen fragen suchen gehen kommen "
+    "maison jardin fleur voiture chemin lumiere heureux parler manger travail pouvoir toujours beaucoup quelque ancien nouveau "
+    "tiempo ciudad trabajo siempre corazon camino hermano mujer hablar escribir ventana pueblo"
 )
 
 
@@ -131,17 +171,15 @@ def _ratio(token: Column, table: list[float], k: int) -> Column:
 
 def _left_over(token: Column, base: Column) -> Column:
     """The parts of a token, of ``LEAST`` code points on, that lie outside the ordered rule spans."""
-    zero = F.struct(token["start"].alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
+    close = F.struct(token["end"].alias("start"), token["end"].alias("end"), F.lit(0).alias("rank"), F.lit("").alias("kind"))
 
-    def grown(acc: Column, end: Column) -> Column:
-        part = F.struct(acc["at"].alias("start"), end.alias("end"), token["rank"].alias("rank"), token["kind"].alias("kind"))
-        return F.when(end - acc["at"] >= LEAST, F.concat(acc["out"], F.array(part))).otherwise(acc["out"])
-
-    def step(acc: Column, b: Column) -> Column:
-        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), grown(acc, b["start"]).alias("out"))
+    def step(at: Column, b: Column) -> tuple[Column, Column]:
+        part = F.struct(at.alias("start"), b["start"].alias("end"), token["rank"].alias("rank"), token["kind"].alias("kind"))
+        return F.greatest(at, b["end"]), F.when(b["start"] - at >= LEAST, F.array(part)).otherwise(none)
 
     touching = F.filter(base, lambda b: (b["start"] < token["end"]) & (token["start"] < b["end"]))
-    return F.when(F.size(touching) == 0, F.array(token)).otherwise(F.aggregate(touching, zero, step, lambda acc: grown(acc, token["end"])))
+    return F.when(F.size(touching) == 0, F.array(token)).otherwise(_scan(F.concat(touching, F.array(close)), token["start"], step, SPAN))
 
 
 def scan(docs: DataFrame, model: tuple[list[float], int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,8 +193,9 @@ def scan(docs: DataFrame, model: tuple[list[float], int] | None = None, id_col:
     rows = rows.withColumn("base", F.array_sort(F.concat(*[F.col(kind) for kind, *_ in RULES])))
     rows = rows.withColumn("tokens", _spans(text, "markov", TOKEN, 0, 0))
     rows = rows.withColumn("parts", F.flatten(F.transform("tokens", lambda t: _left_over(t, F.col("base")))))
-    random = lambda t: _ratio(F.substring(text, t["start"] + 1, t["end"] - t["start"]), table, k) > RATIO
-    rows = rows.withColumn("markov", F.filter("parts", random))
+    random = lambda t: _ratio(_cut(F.col("pieces"), t["start"], t["end"]), table, k) > RATIO
+    none = F.expr("cast(array() as array<string>)")
+    rows = rows.withColumn("pieces", F.when(F.size("parts") > 0, _pieces(text)).otherwise(none)).withColumn("markov", F.filter("parts", random))
     return rows.select("doc_id", "text", "rest", "assign", "access", "hex", "base", F.array_sort(F.concat("base", "markov")).alias("spans"))
 
 
@@ -172,14 +211,15 @@ def digest(found: DataFrame) -> DataFrame:
 
 def masked(found: DataFrame, mask: str = "[secret]") -> DataFrame:
     """(doc_id, text, rest) with every span, overlapping ones merged, replaced by ``mask``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["end"] <= acc["at"]
-        gap = F.greatest(s["start"] - acc["at"], F.lit(0))
-        piece = F.substring(F.col("text"), acc["at"] + 1, gap)
-        text = F.when(inside, acc["out"]).when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], piece, F.lit(mask)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), text.alias("out"))
-
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text")))
-    return found.select("doc_id", F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col("text")).alias("text"), "rest")
+    pieces = F.col("pieces")
+    none = F.expr("cast(array() as array<string>)")
+
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        shown = F.when(s["kind"] == "", F.array(_cut(pieces, at, s["start"]))).when(s["start"] < at, none).otherwise(F.array(_cut(pieces, at, s["start"]), F.lit(mask)))
+        return F.greatest(at, s["end"]), shown
+
+    length = F.char_length("text")
+    close = F.struct(length.alias("start"), length.alias("end"), F.lit(0).alias("rank"), F.lit("").alias("kind"))  # what is left after the last span
+    out = F.array_join(_scan(F.concat("spans", F.array(close)), F.lit(0), step, "string"), "")
+    rows = found.withColumn("pieces", F.when(F.size("spans") > 0, _pieces(F.col("text"))).otherwise(none))
+    return rows.select("doc_id", F.when(F.size("spans") > 0, out).otherwise(F.col("text")).alias("text"), "rest")

@@ -35,7 +35,9 @@ from .common import materialize
 
 K = 20
 #: Rows of a block of candidates, and of queries.
-CANDIDATES, QUERIES = 8192, 1024
+CANDIDATES, QUERIES = 8192, 2048
+#: Candidate blocks that share a column of the grid.
+COLUMN = 4
 #: Dimensions that are accumulated between two prunings.
 DIMENSIONS = 16
 _LONG = 2**63 - 1
@@ -157,14 +159,18 @@ def search(vectors: DataFrame, is_query, k: int = K, scale: int = 64, id_col: st
     rows = materialize(usable(vectors, id_col, vector_col))
     right = _blocks(rows, candidates, scale)
     left = _blocks(rows.where(is_query), queries, scale)
-    n_left = left.count()
+    n_left, n_right = left.count(), right.count()
     if not n_left:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    nth = left.select("block", (F.row_number().over(Window.orderBy("block")) - 1).alias("nth"))  # block numbers alone
-    numbered = left.join(nth, "block").select("nth", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("kind").alias("qkind"), F.col("rows").alias("qrows"))
-    # The stated query set against all rows, in blocks: every candidate block meets every query block.
-    tiles = right.withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1)))).join(numbered, "nth")
-    spread = tiles.repartition(max(1, min(n_left * right.count(), 4 * rows.sparkSession.sparkContext.defaultParallelism)), "nth", "block")
+    # The stated query set against all rows, in blocks, on a grid: a cell brings about one block of queries and COLUMN blocks
+    # of candidates together, so no key holds more, and each block goes through one shuffle, once for each cell of its row or column.
+    n_columns = -(-n_right // COLUMN)
+    number = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows_of = left.select(number(n_left).alias("row"), every(n_columns).alias("column"), F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("kind").alias("qkind"), F.col("rows").alias("qrows"))
+    columns_of = right.select(every(n_left).alias("row"), number(n_columns).alias("column"), "n", "ids", "kind", "rows")
+    width = max(1, min(n_left * n_columns, 4 * rows.sparkSession.sparkContext.defaultParallelism))
+    spread = columns_of.repartition(width, "row", "column").join(rows_of.repartition(width, "row", "column"), ["row", "column"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

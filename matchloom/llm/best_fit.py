@@ -2,9 +2,10 @@
 
 Pieces of equal length are interchangeable, so the packing problem of any
 corpus is a histogram of at most ``capacity`` counts. The driver solves that
-bounded problem once and gets runs of slots; the executors number the pieces
-of each length and look their slots up. Nothing but the histogram (bounded by
-the capacity) and the plan of runs reaches the driver.
+bounded problem once and gets runs of slots; the tasks that cut the documents
+number their pieces of each length, counts by (length, task) make that a rank
+among all, and the executors look the ranks' slots up. Nothing but the histogram
+(bounded by the capacity) and the plan of runs reaches the driver.
 
 Solving: dominance reduction after Martello and Toth fixes document sets that
 provably dominate every alternative (see ``reduce_dominated``), then best fit
@@ -30,32 +31,35 @@ from pyspark.sql import functions as F
 from .common import id_and_text, materialize
 from .tokens import default_path, encoder, slices
 
-#: Buckets that the pieces of one length are numbered in, so that a very frequent length has no single task.
-BUCKETS = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """Token pieces of every document: cut only where longer than ``capacity``."""
+    """Token pieces of every document, cut only where longer than ``capacity``; part and nth number the pieces of each length in a task."""
     path = tokenizer_path or default_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         enc = encoder(path)
         tail = np.array([end_id], np.uint32)
+        part_id, given = TaskContext.get().partitionId(), [0] * (capacity + 1)
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for lo, hi in slices(texts):
                 ids, at = enc.encode(texts.slice(lo, hi - lo))
-                out: list[tuple[int, int, int, int, int]] = []
+                out: list[tuple[int | None, ...]] = []
                 for k in range(hi - lo):
                     own = np.concatenate([ids[at[k]:at[k + 1]], tail])
                     for n, s in enumerate(range(0, len(own), capacity)):
                         part = own[s:s + capacity]
-                        out.append((doc_ids[lo + k], n, s, len(part), zlib.crc32(part.astype("<u4").tobytes())))
+                        out.append((doc_ids[lo + k], n, s, len(part), zlib.crc32(part.astype("<u4").tobytes()), part_id, given[len(part)]))
+                        given[len(part)] += 1
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    return id_and_text(docs).mapInArrow(cut, PIECES)
+    return id_and_text(docs).mapInArrow(cut, PIECES + ", part int, nth long")
 
 
 class Runs:
@@ -125,10 +129,8 @@ def reduce_dominated(runs: Runs, capacity: int) -> int:
         two = [n for n in rest for _ in range(min(2, runs.left[n] - (n == w)))][:2]
         only_one = len(two) < 2 or sum(two) > room
         dominating = x == room or (longest and (only_one or _longest_pair(rest, runs, w, room) <= x and not _three_fit(rest, runs, w, room)))
-        if dominating and x == room:
-            count = runs.left[w] // 2 if x == w else min(runs.left[w], runs.left[x])
-        else:
-            count = int(dominating)
+        # Fewer pieces leave fewer alternatives, so the case holds for all equal pieces at once.
+        count = (runs.left[w] // 2 if x == w else min(runs.left[w], runs.left[x])) if dominating else 0
         if count:
             runs.close((w, x), count)
             fixed += count
@@ -202,11 +204,9 @@ def plan(counts: np.ndarray, capacity: int) -> Runs:
     return runs
 
 
-def pack(cut: DataFrame, capacity: int = 4096, buckets: int = BUCKETS) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 4096) -> DataFrame:
     """Add sequence_id and offset to a written table of pieces."""
-    slot = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(buckets)).cast("int")
-    cut = cut.withColumn("bucket", slot)
-    sizes = cut.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     counts = np.zeros(capacity + 1, np.int64)
     for row in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect():  # capacity rows at most
         counts[row["length"]] = row["n"]
@@ -215,10 +215,9 @@ def pack(cut: DataFrame, capacity: int = 4096, buckets: int = BUCKETS) -> DataFr
     for length, rank, _, sequence, offset in runs.rows:
         by_length.setdefault(length, []).append((rank, sequence, offset))
     table = {n: np.array(v, np.int64).T for n, v in by_length.items()}
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = cut.withColumn("nth", F.row_number().over(within)).join(firsts, ["length", "bucket"]).withColumn("rank", F.col("first") + F.col("nth") - 1)
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    ranked = cut.join(firsts, ["length", "part"]).withColumn("rank", F.col("first") + F.col("nth"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

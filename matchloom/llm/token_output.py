@@ -19,7 +19,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections import deque
 from collections.abc import Iterator
 
@@ -83,10 +82,9 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _sequences(docs: list[tuple[int | None, np.ndarray]], capacity: int, pad_id: int) -> pa.RecordBatch:
+def _sequences(docs: list[tuple[int | None, np.ndarray]], name: str, capacity: int, pad_id: int) -> pa.RecordBatch:
     parts = [(doc, n, s, ids[s:s + capacity]) for doc, ids in docs for n, s in enumerate(range(0, len(ids), capacity))]
     bins = best_fit_decreasing(np.array([len(p[3]) for p in parts]), capacity)
-    name = uuid.uuid5(uuid.NAMESPACE_OID, f"{docs[0][0]}:{docs[-1][0]}:{len(docs)}:{sum(len(i) for _, i in docs)}").hex
     matrix = np.full((len(bins), capacity), pad_id, np.int32)
     positions = np.zeros((len(bins), capacity), np.int32)
     cumulative, owner, piece, start, total = [], [], [], [], []
@@ -113,13 +111,15 @@ def _sequences(docs: list[tuple[int | None, np.ndarray]], capacity: int, pad_id:
 
 
 def packed_sequences(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 4096, end_id: int = 1, pad_id: int = 0, window_tokens: int = WINDOW_TOKENS) -> DataFrame:
-    """One row per packed sequence of every document's ids."""
+    """One row per packed sequence of every document's ids; window_id names the task and its window."""
     path = tokenizer_path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail = encoder(path), np.array([end_id], np.uint32)
+        from pyspark import TaskContext
+
+        enc, tail, part = encoder(path), np.array([end_id], np.uint32), TaskContext.get().partitionId()
         held: list[tuple[int | None, np.ndarray]] = []
-        size = 0
+        size = done = 0
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for lo, hi in slices(texts):
@@ -128,10 +128,10 @@ def packed_sequences(docs: DataFrame, tokenizer_path: str | None = None, capacit
                     held.append((doc_ids[lo + k], np.concatenate([ids[at[k]:at[k + 1]], tail])))
                 size += len(ids) + hi - lo
                 if size >= window_tokens:
-                    yield from _emit(_sequences(held, capacity, pad_id))
-                    held, size = [], 0
+                    yield from _emit(_sequences(held, f"{part:06d}-{done:06d}", capacity, pad_id))
+                    held, size, done = [], 0, done + 1
         if held:
-            yield from _emit(_sequences(held, capacity, pad_id))
+            yield from _emit(_sequences(held, f"{part:06d}-{done:06d}", capacity, pad_id))
 
     return id_and_text(docs).mapInArrow(run, PACKED)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that a worker's cache may hold before it starts afresh.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 400_000
 #: Bytes of text that are taken at once.
 SLICE_BYTES = 8 << 20
 _TAIL = ".,;:!?"
@@ -46,10 +46,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]]
         spec = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": None}
         self.words = Tokenizer.from_str(json.dumps(spec))  # merges only, for what is known to be one word
-        self.words.encode_special_tokens = True
         self.to_chars = bytes_to_unicode()
         self.cache: dict[str, bytes] = {"": b""}
 
@@ -58,7 +57,7 @@ class ChunkEncoder:
         if not word.isalpha():
             return None
         if word.isascii():
-            return word
+            return word.lower()
         if max(word) >= "\u0250" or not unicodedata.is_normalized("NFC", word):
             return None
         word = word.lower()
@@ -96,9 +95,18 @@ class ChunkEncoder:
             self._learn(unseen)
         return [self.cache[c] for c in chunks]
 
+    def _lowered(self, texts: pa.Array) -> pa.Array:
+        """Texts in lower case, so that equal chunks meet; as they are where that might spell a special token, which the library finds before it folds."""
+        lower = pc.ascii_lower(texts)
+        for token in self.special:
+            spelled = pc.match_substring(lower, token.lower())
+            if pc.any(spelled).as_py():
+                lower = pc.if_else(spelled, texts, lower)
+        return lower
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in one row, offsets of each text in it)."""
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        lists = pc.ascii_split_whitespace(self._lowered(texts))
         coded = lists.flatten().dictionary_encode()
         found = self._lookup(coded.dictionary.to_pylist())
         which = np.asarray(coded.indices)

@@ -201,10 +201,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE)
 def representatives(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
     """One row of ``docs`` for each class: that of the smallest doc_id, null last."""
     own = fingerprints(docs, size, marked=True)
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "mark")
     classed = _classed(materialize(own.groupBy("fp").agg(F.min(row).alias("first"))), radius)
-    best = classed.groupBy("root").agg(F.min("first").alias("best"))
-    kept = best.select(F.col("best.doc_id").alias("_id"), F.col("best.mark").alias("_mark"))
-    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_mark": F.unhex(F.md5(text_column()))})
-    same = rows["_id"].eqNullSafe(kept["_id"]) & (rows["_mark"] == kept["_mark"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["_id", "_mark"]).drop("_id", "_mark")
+    kept = classed.groupBy("root").agg(F.min("first").alias("best")).select(F.col("best.none").alias("_none"), F.col("best.id").alias("_id"), F.col("best.mark").alias("_mark"))
+    key = ["_none", "_id", "_mark"]  # no nulls: one shuffle of the rows serves the join and what follows
+    rows = docs.withColumns({"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_mark": F.unhex(F.md5(text_column()))})
+    return rows.join(kept, key, "left_semi").dropDuplicates(key).drop(*key)

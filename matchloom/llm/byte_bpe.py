@@ -12,7 +12,8 @@ sides are built: the left side's right edge and the right side's left edge are
 walked through the merges that made them.
 
 Defined results: a null text is the empty text (no tokens); an empty table
-gives no rows; repeated rows are kept; extra columns are ignored.
+gives no rows; repeated rows are kept; a null doc_id stays null; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .common import id_and_text
 from .tokens import slices
 
 #: White space in the splitting pattern's sense (Unicode White_Space).
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Entries that each of a worker's tables may hold before it starts afresh, and bytes of the prefixes.
 TABLE_SIZE, TABLE_BYTES = 450_000, 64 << 20
 #: Bytes of a match, or characters of a chunk, above which it is encoded by a list of its own and not kept:

@@ -1,41 +1,24 @@
 """Helpers shared by the training-data operators.
 
 Shared storage: intermediate tables go to the folder named by
-``spark.checkpoint.dir`` (read from the session; a folder of our own is set
-only where the setting is absent, as in tests). Every intermediate is an
+``spark.checkpoint.dir`` (read from the session; in a single JVM, as in tests,
+a folder of our own where the setting is absent). Every intermediate is an
 ordinary Parquet table there, so a lost executor costs a retry of its tasks
-and nothing else.
+and nothing else. The tables go when the session's JVM ends.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.sources.shared import materialize
+
+__all__ = ["documents", "id_and_text", "materialize", "small_batches", "text_column"]
 #: Rows in an Arrow batch: bounds the memory of a Python worker for long texts.
 BATCH_ROWS = 1024
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="matchloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back (cuts lineage)."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/matchloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches in rows unless the session already asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

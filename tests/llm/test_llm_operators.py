@@ -138,6 +138,38 @@ def test_secret_scan_judges_what_rule_spans_leave_of_a_token(spark):
     assert part not in masked[0] + masked[1] and masked[3].startswith("this_is_an_ordinary_name/")
 
 
+def test_secret_scan_on_held_out_strings(spark):
+    """Random strings of several alphabets, and identifiers of words that the training sample doesn't hold."""
+    r = random.Random(31)
+    trained = set(secret_scan._WORDS.lower().split())
+    words = [w for w in "harvest lantern pebble orchard velvet compass glacier thicket mariner parcel saddle copper meadow tunnel basket candle anchor ribbon hammer pepper".split() if w not in trained]
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"]
+    rows = [(1, "".join(r.choice(a) for _ in range(r.randrange(20, 40)))) for a in alphabets for _ in range(40)]
+    for _ in range(40):
+        a, b, c, d = r.sample(words, 4)
+        rows += [(0, f"{a}_{b}_{c}"), (0, a + b.title() + c.title() + d.title()), (0, f"{a}/{b}/{c}"), (0, f"{a}-{b}-{c}-{r.randrange(3000)}"), (0, f"{a}_{b}_{c}".upper())]
+    rows = [x for x in rows if len(x[1]) >= secret_scan.LEAST]
+    table = spark.createDataFrame([(n, k, t) for n, (k, t) in enumerate(rows)], "doc_id long, random int, text string")
+    found = [(x["random"], x["n"] > 0) for x in secret_scan.scan(table).select("rest.random", F.size("spans").alias("n")).collect()]
+    assert sum(f for k, f in found if k) >= 0.97 * sum(k for k, _ in found)
+    assert sum(f for k, f in found if not k) <= 0.03 * sum(not k for k, _ in found)
+
+
+def test_secret_scan_of_many_spans_and_long_texts(spark):
+    r = random.Random(32)
+    parts = [("deadbeefdeadbeef%02x" % r.randrange(256)) if r.random() < 0.5 else "é😀" * r.randrange(1, 900) for _ in range(300)]
+    text = " ".join(parts)
+    found = secret_scan.scan(spark.createDataFrame([(1, text), (None, None)], "doc_id long, text string")).persist()
+    row = secret_scan.digest(found).where("doc_id = 1").first()
+    base = slow_spans(text)
+    assert len(text) > 3 * secret_scan.PIECE and len(base) > 2 * secret_scan.BLOCK
+    assert row["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, _, k in base).encode()).hexdigest()
+    masked, at = "", 0
+    for a, b, _, _ in base:
+        masked, at = masked + text[at:a] + "[secret]", b
+    assert {x["doc_id"]: x["text"] for x in secret_scan.masked(found).collect()} == {1: masked + text[at:], None: ""}
+
+
 def test_secret_model_learns_from_labels_only(spark):
     table, k = secret_scan.train(spark.createDataFrame([], "token string, random boolean"))
     assert set(table) == {0.0}
@@ -162,17 +194,41 @@ def slow_dedup(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("length,gram,hot", [(400, 160, 256), (400, 160, 1), (48, 20, 256), (48, 20, 1)])
+@pytest.mark.parametrize("length,gram,hot", [(400, 48, 128), (400, 160, 1), (48, 20, 128), (48, 20, 1)])
 def test_suffix_dedup(docs, monkeypatch, length, gram, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_CONTEXTS", hot)
     assert rows_of(suffix_dedup.dedup(docs, length, gram)) == slow_dedup(texts_of(docs), length)
 
 
+@pytest.mark.parametrize("hot", [128, 2])
+def test_suffix_dedup_at_two_scales(docs, spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_CONTEXTS", hot)
+    r = random.Random(12)
+    base = prose(160, "near").split()
+    near = [" ".join(r.choice(WORDS) if r.random() < 0.02 else w for w in base) for _ in range(24)]
+    planted = [f"{prose(30, f'p{k}')} {PASSAGE[:300]} {prose(30, f'q{k}')}" for k in range(5)]
+    table = docs.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(near + planted, 100)), "doc_id long, text string"))
+    rows = texts_of(table)
+    found = suffix_dedup.dedup(table, 400, 48, passage=240).collect()
+    assert sorted(tuple(x)[:5] for x in found) == slow_dedup(rows, 400)
+    assert sorted((x["doc_id"], x["n_passage"]) for x in found) == [(i, gone) for i, _, gone, *_ in slow_dedup(rows, 240)]
+    assert all(x["n_passage"] >= 300 for x in found if x["doc_id"] >= 124)
+
+
+def test_suffix_dedup_tells_rows_of_null_and_shared_ids_apart(spark):
+    texts = [prose(70, f"n{k}") for k in range(240)]
+    texts = [t + PASSAGE[:420] if k % 60 == 0 else t for k, t in enumerate(texts)]
+    rows = [(None if k % 2 else 7, t) for k, t in enumerate(texts)] + [(None, texts[3]), (7, texts[4]), (7, texts[4]), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = slow_dedup([(-1 if i is None else i, t or "") for i, t in rows], 400)
+    assert sorted((-1 if x[0] is None else x[0], *tuple(x)[1:]) for x in suffix_dedup.dedup(table).collect()) == want
+
+
 def test_suffix_dedup_text_and_empty(docs, empty):
-    found = suffix_dedup.dedup(docs, with_text=True).collect()
+    found = suffix_dedup.dedup(docs, with_text=True, passage=240).collect()
     assert all(r["text"].isprintable() or r["text"] for r in found if r["n_removed"] < r["n_bytes"])
     assert {r["rest"]["source"] for r in found} == {"s"}
-    assert suffix_dedup.dedup(empty).count() == 0
+    assert suffix_dedup.dedup(empty, passage=240).count() == 0
 
 
 def test_difference_cover_and_blocks(monkeypatch):
@@ -194,14 +250,13 @@ def ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text, add_special_tokens=False).ids, 1]
 
 
 def test_ids_equal_the_library(ids):
     import pyarrow as pa
 
-    odd = [t or "" for t in TEXTS] + ["a<|endoftext|>b", "a\x1cb x\x85y é ́ ΣΑΣ İ\xa0q　w", "'s'S, foo). bar's 'LL.", "Ａ ａ", "　", "ﬁ½"]
+    odd = [t or "" for t in TEXTS] + ["a<|endoftext|>b", "A <|EndOfText|> B<|startoftext|>C", "<|STARTOFTEXT|>", "a\x1cb x\x85y é ́ ΣΑΣ İ\xa0q　w", "'s'S, foo). bar's 'LL.", "Ａ ａ", "　", "ﬁ½"]
     found, at = tokens.encoder(tokens.default_path()).encode(pa.array(odd))
     assert [found[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [ids(t)[:-1] for t in odd]
 
@@ -293,6 +348,13 @@ def test_reduction_never_costs_a_sequence(seed):
     assert fixed + optimal(left) == optimal(sorted(items, reverse=True))
 
 
+def test_reduction_closes_equal_sets_at_once():
+    counts = np.zeros(4097, np.int64)
+    counts[[2600, 1400]] = [1_000_000, 900_000]
+    runs = best_fit.plan(counts, 4096)
+    assert runs.sequences == 1_000_000 and len(runs.rows) < 10
+
+
 # 6
 
 def test_simhash(docs, empty):
@@ -380,6 +442,49 @@ def test_quality(spark, docs, empty):
     assert {r["kept"] for r in quality.judge(docs, labels.limit(0)).where("not base_failed").collect()} == {True}
 
 
+def test_quality_verdict_against_brute_force(spark):
+    r = random.Random(21)
+    other = ["".join(r.choice("fghklmnuvwxyz") for _ in range(r.randrange(2, 8))) for _ in range(80)]
+    texts, labels = [], []
+    for i in range(160):
+        poor = i % 4 == 0
+        words = [r.choice(other if poor and r.random() < 0.8 else WORDS) for _ in range(r.randrange(12, 60))]
+        texts.append((i, " ".join(words)))
+        labels.append((i, int(not poor), 0))
+    texts += [(None, texts[0][1]), (1000, texts[4][1]), (1001, None), (1002, "a b c")]
+    hasher = quality.Hasher()
+    grams = [(i, collections.Counter(hasher.buckets((t or "").encode().split()).tolist())) for i, t in texts]
+    n = 1 << quality.BUCKET_BITS
+    raw = sum((g for _, g in grams), collections.Counter())
+    good = {i for i, q, _ in labels if q == 1}
+    half = lambda i: zlib.crc32(str(i).encode()) % 2
+
+    def ratio(target):
+        total, strength = sum(target.values()), 0.05 * sum(target.values())
+        p = lambda b: (raw[b] + 0.5) / (sum(raw.values()) + 0.5 * n)
+        return lambda b: math.log((target[b] + strength * p(b)) / (total + strength)) - math.log(p(b))
+
+    def mean(g, f):
+        return sum(f(b) * c for b, c in g.items()) / sum(g.values()) if g else 0.0
+
+    target = [sum((g for i, g in grams if i in good and half(i) == f), collections.Counter()) for f in (0, 1)]
+    crossed = [(mean(g, ratio(target[1 - half(i)])), i in good) for i, g in grams if i is not None and i < 160]
+    best, cut = 0.0, -math.inf
+    values = sorted({s for s, _ in crossed})
+    for below, at in zip(values, values[1:], strict=False):
+        lost = sum(s < at for s, g in crossed if g) / sum(g for _, g in crossed)
+        caught = sum(s < at for s, g in crossed if not g) / sum(not g for _, g in crossed)
+        if lost <= quality.MAX_LOST and caught - lost > best + 1e-12:
+            best, cut = caught - lost, (at + below) / 2
+    final = ratio(target[0] + target[1])
+    want = sorted(((i is None, i or 0), len((t or "").split()) >= 10 and mean(g, final) >= cut) for (i, t), (_, g) in zip(texts, grams, strict=True))
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    judged = quality.judge(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert all(not x["base_failed"] or x["n_words"] < 10 for x in judged)
+    assert sorted(((x["doc_id"] is None, x["doc_id"] or 0), x["kept"]) for x in judged) == want
+    assert 100 < sum(k for _, k in want) < 140
+
+
 def test_quality_ratio_and_threshold():
     raw, good = np.array([50.0, 50, 0, 0]), np.array([40.0, 2, 0, 0])
     ratio = quality.likelihood_ratio(raw, good)
@@ -481,24 +586,30 @@ def test_toxicity_reads_long_runs_to_their_end(spark):
 
 # 10
 
-def test_lm_scores(docs, empty, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_scores(docs, empty, monkeypatch, order):
     monkeypatch.setattr(lm_scoring, "RANGE_ENTRIES", 500)
+    monkeypatch.setattr(lm_scoring, "GROUP_BYTES", 20_000)
     data = [(i, t.encode().lower().split()) for i, t in texts_of(docs)]
-    one, two = collections.Counter(), collections.Counter()
-    for _, w in data:
-        one.update(w)
-        two.update(zip(w, w[1:], strict=False))
+    tally = lambda w: collections.Counter(tuple(w[k:k + m]) for m in range(order + 1) for k in range(len(w) - m + 1))
+    corpus = sum((tally(w) for _, w in data), collections.Counter())
+    n_words = sum(len(w) for _, w in data)
     want = collections.defaultdict(list)
     for i, w in data:
-        own, pairs, others, total = collections.Counter(w), collections.Counter(zip(w, w[1:], strict=False)), max(sum(one.values()) - len(w), 1), 0.0
+        own, total = tally(w), 0.0
+        c = lambda g: corpus[g] - own[g]  # noqa: B023, E731
+
+        def s(history, x):
+            if not history:
+                return max(c((x,)), 0.5) / max(n_words - len(w), 1)  # noqa: B023
+            return c((*history, x)) / c(history) if c((*history, x)) > 0 else 0.4 * s(history[1:], x)  # noqa: B023
+
         for k, x in enumerate(w):
-            unigram = math.log(max(one[x] - own[x], 0.5) / others)
-            seen, before = (two[w[k - 1], x] - pairs[w[k - 1], x], one[w[k - 1]] - own[w[k - 1]]) if k else (0, 0)
-            total += math.log(seen / before) if seen > 0 and before > 0 else unigram + (math.log(0.4) if k else 0)
+            total += math.log(s(tuple(w[max(0, k - order + 1):k]), x))
         want[i].append((len(w), total))
-    found = lm_scoring.score(docs).collect()
+    found = lm_scoring.score(docs, order).collect()
     assert len(found) == len(data)
     for r in found:
         n, total = want[r["doc_id"]][0]
         assert r["n_words"] == n and r["log_score"] == pytest.approx(total) and (r["mean_log"] is None) == (n == 0)
-    assert lm_scoring.score(empty).count() == 0
+    assert lm_scoring.score(empty, order).count() == 0

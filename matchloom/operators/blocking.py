@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,10 @@ ADDR_KEYS = ["addr", "addr_bi", "geo"]
 ADDR_COSINE_KEYS = ["addr", "addr_bi"]
 
 
+#: How operators keep a table that they read twice; a plan passes its own, which it can release.
+Keep = Callable[[DataFrame], DataFrame]
+
+
 def union_keys(kinds: list[str]) -> Column:
     out = F.col(kinds[0])
     for k in kinds[1:]:
@@ -28,7 +34,7 @@ def idf(n: int) -> Column:
     return F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1
 
 
-def weights(keyed: DataFrame, kinds: list[str]) -> DataFrame:
+def weights(keyed: DataFrame, kinds: list[str], keep: Keep = DataFrame.persist) -> DataFrame:
     """(id, is_ref, token, df_pool, w): weights of unit length over all of a record's keys.
 
     The table is used on both sides of the similarity join, so it is kept.
@@ -36,10 +42,10 @@ def weights(keyed: DataFrame, kinds: list[str]) -> DataFrame:
     n = keyed.count()
     rows = keyed.select(F.col("entity_id").alias("id"), "is_ref", F.explode(union_keys(kinds)).alias("token"))
     # Kept before the join: a very frequent token's rows can then be split by adaptive execution.
-    df = document_frequency(keyed, kinds).persist()
+    df = keep(document_frequency(keyed, kinds))
     weighted = rows.join(df, "token").withColumn("raw", idf(n))
     own = Window.partitionBy("id")
-    return weighted.withColumn("w", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(own))).drop("raw", "df").persist()
+    return keep(weighted.withColumn("w", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(own))).drop("raw", "df"))
 
 
 def usable_keys(weighted: DataFrame, max_df: int, fallback_df: int) -> DataFrame:
@@ -61,17 +67,17 @@ def similarity(weighted: DataFrame, max_df: int, fallback_df: int) -> DataFrame:
     return left.join(right, "token").groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("sim"))
 
 
-def channel_top_k(keyed: DataFrame, kinds: list[str], k: int, max_df: int = 3000, fallback_df: int = 30000) -> DataFrame:
+def channel_top_k(keyed: DataFrame, kinds: list[str], k: int, max_df: int = 3000, fallback_df: int = 30000, keep: Keep = DataFrame.persist) -> DataFrame:
     """The k most similar pool records of each reference record; ties to the smaller id."""
-    found = similarity(weights(keyed, kinds), max_df, fallback_df)
+    found = similarity(weights(keyed, kinds, keep), max_df, fallback_df)
     best = Window.partitionBy("i").orderBy(F.round("sim", 9).desc(), "j")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(k, 0))
 
 
-def candidates(keyed: DataFrame, k_name: int = 15, k_addr: int = 10, max_df: int = 3000, fallback_df: int = 30000) -> DataFrame:
+def candidates(keyed: DataFrame, k_name: int = 15, k_addr: int = 10, max_df: int = 3000, fallback_df: int = 30000, keep: Keep = DataFrame.persist) -> DataFrame:
     """Distinct (i, j) of the name channel and the address channel."""
-    name = channel_top_k(keyed, NAME_KEYS, k_name, max_df, fallback_df)
-    addr = channel_top_k(keyed, ADDR_KEYS, k_addr, max_df, fallback_df)
+    name = channel_top_k(keyed, NAME_KEYS, k_name, max_df, fallback_df, keep)
+    addr = channel_top_k(keyed, ADDR_KEYS, k_addr, max_df, fallback_df, keep)
     return name.select("i", "j").union(addr.select("i", "j")).distinct()
 
 

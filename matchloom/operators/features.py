@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions.strings import STRING_FEATURES, string_scores
 
-from .blocking import ADDR_COSINE_KEYS, NAME_KEYS, idf, union_keys
+from .blocking import ADDR_COSINE_KEYS, NAME_KEYS, Keep, idf, union_keys
 
 # The features in model order.
 FEATURES = [
@@ -19,12 +19,12 @@ COSINES = {"name_tfidf": NAME_KEYS, "addr_tfidf": ADDR_COSINE_KEYS}
 DECIMALS = 6
 
 
-def _vectors(keyed: DataFrame, channels: dict[str, list[str]], n: int) -> DataFrame:
+def _vectors(keyed: DataFrame, channels: dict[str, list[str]], n: int, keep: Keep) -> DataFrame:
     """(id, and for each channel: map of a record's tokens to their idf, norm), all channels in one pass."""
     parts = F.array(*[F.struct(F.lit(k).alias("c"), union_keys(kinds).alias("tokens")) for k, kinds in enumerate(channels.values())])
     rows = keyed.select(F.col("entity_id").alias("id"), F.explode(parts).alias("p")).select("id", "p.c", F.explode("p.tokens").alias("token"))
     # Kept before the join, like the weights of blocking: a frequent token's rows can then be split.
-    df = rows.groupBy("c", "token").agg(F.count(F.lit(1)).alias("df")).persist()
+    df = keep(rows.groupBy("c", "token").agg(F.count(F.lit(1)).alias("df")))
     own = rows.join(df, ["c", "token"]).withColumn("v", idf(n)).groupBy("id")
     out = []
     for k, name in enumerate(channels):
@@ -33,9 +33,9 @@ def _vectors(keyed: DataFrame, channels: dict[str, list[str]], n: int) -> DataFr
     return own.agg(*out)
 
 
-def cosines(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
+def cosines(pairs: DataFrame, keyed: DataFrame, keep: Keep = DataFrame.persist) -> DataFrame:
     """``pairs`` with the full cosines on name and on address keys, 0 without a shared key."""
-    v = _vectors(keyed, COSINES, keyed.count())
+    v = _vectors(keyed, COSINES, keyed.count(), keep)
     a, b = (v.select(F.col("id").alias(k), F.struct(*[c for c in v.columns if c != "id"]).alias(f"{k}_v")) for k in "ij")
     joined = pairs.join(a, "i", "left").join(b, "j", "left")
     for name in COSINES:
@@ -102,9 +102,9 @@ def string_features(gathered: DataFrame) -> DataFrame:
     return scored.withColumns({name: F.col("scores")[name] for name, *_ in STRING_FEATURES}).drop("scores")
 
 
-def pair_features(pairs: DataFrame, keyed: DataFrame, only: DataFrame | None = None) -> DataFrame:
+def pair_features(pairs: DataFrame, keyed: DataFrame, only: DataFrame | None = None, keep: Keep = DataFrame.persist) -> DataFrame:
     """All 26 features. Context covers all pairs; ``only`` (entity_id) limits the costly rest to some reference records."""
-    pairs = context(cosines(pairs, keyed))
+    pairs = context(cosines(pairs, keyed, keep))
     if only is not None:
         pairs = pairs.join(only.select(F.col("entity_id").alias("i")), "i", "left_semi")
     return string_features(set_features(gather(pairs, keyed))).select("i", "j", *[F.col(f).cast("double").alias(f) for f in FEATURES])

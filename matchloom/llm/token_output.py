@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import id_and_text
@@ -141,9 +142,40 @@ def _emit(batch: pa.RecordBatch, rows: int = 64) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+MATRICES = "window_id string, n_sequences int, input_ids binary, position_ids binary, n_segments binary, cu_seqlens binary, doc_ids array<long>, pieces array<int>, starts array<long>"
+
+
+def packed_matrices(packed: DataFrame, rows: int = 64) -> DataFrame:
+    """Matrices of up to ``rows`` packed sequences as little-endian bytes.
+
+    input_ids (u4) and position_ids (i4) are row by row; n_segments (i4) counts
+    each row's segments, and cu_seqlens (i4) strings the rows' cumulative lengths
+    together, each from 0 on and so one longer than the row's segments.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def raw(column: pa.Array, kind: str) -> pa.Array:
+            return pa.array([np.asarray(column).astype(kind).tobytes()], pa.binary())
+
+        for batch in batches:
+            names = batch.column("window_id").to_pylist()
+            cuts = sorted({0, len(names), *range(0, len(names), rows), *(k for k in range(1, len(names)) if names[k] != names[k - 1])})
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(lo, hi - lo)
+                sizes = pc.subtract(pc.list_value_length(part.column("cu_seqlens")), 1)
+                lists = [pa.array([part.column(c).flatten().to_pylist()], t) for c, t in (("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32())), ("starts", pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[lo]]), pa.array([hi - lo], pa.int32()), raw(part.column("input_ids").flatten(), "<u4"), raw(part.column("position_ids").flatten(), "<i4"),
+                     raw(sizes, "<i4"), raw(part.column("cu_seqlens").flatten(), "<i4"), *lists],
+                    names=[f.split()[0] for f in MATRICES.split(", ")],
+                )
+
+    return packed.mapInArrow(run, MATRICES)
+
+
 def write_packed(docs: DataFrame, path: str, **options) -> None:
-    """Write the packed id matrices with their segment lengths and positions as Parquet."""
-    packed_sequences(docs, **options).write.mode("overwrite").parquet(path)
+    """Write the packed id matrices with their segment lengths and positions, in binary."""
+    packed_matrices(packed_sequences(docs, **options)).write.mode("overwrite").parquet(path)
 
 
 def read_back(packed: DataFrame) -> DataFrame:

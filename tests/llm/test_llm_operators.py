@@ -277,6 +277,23 @@ def test_packed_output(docs, empty, ids):
     assert token_output.packed_sequences(empty).count() == 0
 
 
+def test_binary_matrices(spark, docs, tmp_path):
+    options = {"capacity": 512, "window_tokens": 3000}
+    rows = {(r["window_id"], r["sequence"]): r for r in token_output.packed_sequences(docs, **options).collect()}
+    token_output.write_packed(docs, str(tmp_path / "packed"), **options)
+    seen = collections.Counter()
+    for m in spark.read.parquet(str(tmp_path / "packed")).collect():
+        ids, positions = (np.frombuffer(m[c], "<u4").reshape(m["n_sequences"], 512) for c in ("input_ids", "position_ids"))
+        sizes, ends, owners, at = np.frombuffer(m["n_segments"], "<i4"), np.frombuffer(m["cu_seqlens"], "<i4"), list(m["doc_ids"]), 0
+        for k in range(m["n_sequences"]):
+            mine = ends[at:at + sizes[k] + 1].tolist()
+            same = [r for (w, _), r in rows.items() if w == m["window_id"] and r["input_ids"] == ids[k].tolist() and r["cu_seqlens"] == mine and r["position_ids"] == positions[k].tolist()]
+            assert any(r["doc_ids"] == owners[:sizes[k]] for r in same)
+            at, owners = at + sizes[k] + 1, owners[sizes[k]:]
+        seen[m["window_id"]] += m["n_sequences"]
+    assert seen == collections.Counter(w for w, _ in rows)
+
+
 def test_segment_tree_finds_the_tightest():
     r = random.Random(2)
     lengths = np.array([r.randrange(1, 101) for _ in range(400)])

@@ -281,6 +281,16 @@ def tsv_round_trip(spark, sf_dir):
     return read.select(*tsv.SOURCE_COLUMNS, "source", place.cast("long").alias("place"))
 
 
+@query(O.CANDIDATE_LISTS)
+def candidate_file(spark, sf_dir):
+    """The candidate pairs written as an ID-list file, ids in pool order, and read again."""
+    keyed = _keyed(spark, sf_dir)
+    placed = keyed.select("entity_id", "is_ref", F.col("entity_id").alias("ord"), F.substring("entity_id", 2, 1).cast("int").alias("source"))
+    path = f"{shared.work_path(spark)}/candidate_pairs.tsv"
+    tsv.write_lists(tsv.pair_lists(_pairs(keyed), placed.where("is_ref"), placed.where("not is_ref")), path, tsv.CANDIDATE_HEADER)
+    return tsv.read_lists(spark, path).select(F.col("s1_id").alias(tsv.CANDIDATE_HEADER[0]), F.col("cell").alias(tsv.CANDIDATE_HEADER[1]))
+
+
 def _fitted(spark, sf_dir, iterations=10):
     """Scored pairs of the validation ids by a model that saw the other ids only."""
     keyed = _keyed(spark, sf_dir)

@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 
 SMALL = "/root/testdata/sf0.001"
-NAMES = ["key_sets", "block_name_topk", "pair_set_features", "best_threshold", "output_issues"]
+NAMES = ["key_sets", "block_name_topk", "pair_set_features", "best_threshold", "output_issues", "pair_string_ratios", "sample_and_split", "tsv_round_trip", "candidate_file"]
 
 
 def test_contract():

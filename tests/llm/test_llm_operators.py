@@ -578,6 +578,13 @@ def test_toxicity_on_held_out_rows_and_unseen_misspellings(spark, docs, empty):
     assert toxicity.accepted(docs, None).columns == docs.columns
 
 
+def test_toxicity_bags_equal_single_words():
+    r = random.Random(13)
+    words = ["", "a", "日本", "😀😀😀😀"] + ["".join(r.choice("abcéß東😀z_") for _ in range(r.randrange(1, 70))) for _ in range(300)]
+    ids, sizes = toxicity.bags(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [toxicity.ngram_ids(w) for w in words]
+
+
 def test_toxicity_reads_long_runs_to_their_end(spark):
     run = "".join(chr(0x4E00 + 7 * k) for k in range(500))
     grams = {run[i:i + n] for n in range(3, 7) for i in range(len(run) - n + 1)}

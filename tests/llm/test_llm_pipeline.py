@@ -44,7 +44,7 @@ def test_toxicity_stage(spark, stages):
     model = toxicity.train([toxicity.excerpt(before[i]["text"] or "") for i in order], [labels[i] for i in order])
 
     def score(text):
-        words = [model.word_score(w) for w in re.findall(r"\w+", text.lower())]
+        words = [sum(model.evidence[i] for i in grams) / len(grams) for grams in map(toxicity.ngram_ids, re.findall(r"\w+", text.lower()))]
         windows = [sum(words[k:k + 8]) / 8 + model.bias for k in range(0, max(1, len(words) - 4), 4)]
         return 1 / (1 + np.exp(-(model.slope * max(windows) + model.shift)))
 

@@ -25,6 +25,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,8 @@ WINDOW, STRIDE = 8, 4
 MAX_POSITIVE, MAX_NEGATIVE = 2000, 3000
 MAX_WORDS, BLOCK_WORDS = 2048, 128
 THRESHOLD = 0.7
-CACHE_WORDS = 250_000
+#: Words whose scores a worker keeps, and bytes of text that are scored together.
+CACHE_WORDS, GROUP_BYTES = 250_000, 1 << 20
 LOW, HIGH = 3, 6
 #: Characters above which a run is split, and those of a part: about two words, so that a window spans as much text as elsewhere.
 LONG_RUN, PART = 64, 16
@@ -68,7 +70,51 @@ def ngram_ids(word: str, bits: int = BUCKET_BITS, low: int = LOW, high: int = HI
     mask = (1 << bits) - 1
     data = f"<{word}>"
     grams = {data[i:i + n] for n in range(low, high + 1) for i in range(len(data) - n + 1)}
-    return sorted({zlib.crc32(g.encode("utf-8", "replace")) & mask for g in grams | {data, "=" + word}})
+    return sorted({zlib.crc32(g.encode()) & mask for g in grams | {data, "=" + word}})
+
+
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1).astype(np.uint32)
+    return table
+
+
+_TABLE = _crc_table()
+
+
+def _crc32(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """CRC-32 of many stretches of one byte string."""
+    crc, size = np.full(len(start), 0xFFFFFFFF, np.uint32), end - start
+    on = np.arange(len(start))
+    for k in range(int(size.max(initial=0))):
+        on = on[size[on] > k]
+        crc[on] = _TABLE[(crc[on] ^ data[start[on] + k]) & 0xFF] ^ crc[on] >> 8
+    return crc ^ np.uint32(0xFFFFFFFF)
+
+
+def bags(words: list[str], at_once: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """``ngram_ids`` of all words in one row, and how many each has."""
+    parts = [_bags(words[k:k + at_once]) for k in range(0, len(words), at_once)]
+    ids, sizes = zip(*parts, strict=True) if parts else ([np.zeros(0, np.int32)], [np.zeros(0, np.int64)])
+    return np.concatenate(ids), np.concatenate(sizes)
+
+
+def _bags(words: list[str], bits: int = BUCKET_BITS, low: int = LOW, high: int = HIGH) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer("".join([f"<{w}>={w}" for w in words]).encode(), np.uint8)
+    at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where characters start
+    chars = np.array([len(w) for w in words])
+    first = np.cumsum(2 * chars + 3) - (2 * chars + 3)  # of <word>, in characters
+    owners, starts, ends = [np.tile(np.arange(len(words)), 2)], [at[first], at[first + chars + 2]], [at[first + chars + 2], at[first + 2 * chars + 3]]
+    for n in range(low, high + 1):
+        count = np.maximum(chars + 3 - n, 0)
+        owner = np.repeat(np.arange(len(words)), count)
+        begin = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        owners.append(owner)
+        starts.append(at[begin])
+        ends.append(at[begin + n])
+    key = np.unique(np.concatenate(owners) << bits | _crc32(data, np.concatenate(starts), np.concatenate(ends)) & (1 << bits) - 1)
+    return (key & (1 << bits) - 1).astype(np.int32), np.bincount(key >> bits, minlength=len(words))
 
 
 def window_starts(n_words: int) -> np.ndarray:
@@ -84,8 +130,10 @@ class ToxicityModel:
     slope: float
     shift: float
 
-    def word_score(self, word: str) -> float:
-        return float(self.evidence[ngram_ids(word)].mean())
+    def word_scores(self, words: list[str]) -> list[float]:
+        """Mean evidence of each word's n-grams."""
+        ids, sizes = bags(words)
+        return (np.add.reduceat(self.evidence[ids], np.cumsum(sizes) - sizes) / sizes).tolist() if words else []
 
     def window_logits(self, scores: np.ndarray) -> np.ndarray:
         if not len(scores):
@@ -113,10 +161,9 @@ class _Sample:
         nth = np.arange(len(self.doc)) - np.repeat(np.cumsum(counts) - counts, counts)
         place = (begin[self.doc] + STRIDE * nth)[:, None] + np.arange(WINDOW)
         self.windows = np.where(place < (begin + sizes)[self.doc][:, None], words[np.minimum(place, len(words) - 1)], 0).astype(np.int32)
-        lists = [np.zeros(0, np.int32)] + [np.array(ngram_ids(w), np.int32) for w in list(vocabulary)[1:]]
-        self.sizes = np.array([len(x) for x in lists])
+        grams, sizes = bags(list(vocabulary)[1:])
+        self.grams, self.sizes = grams, np.concatenate([[0], sizes])
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.grams = np.concatenate(lists)
 
     def bag(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(n-grams, their window, their weight in the window's mean)."""
@@ -243,21 +290,17 @@ class _Scorer:
     def __init__(self, model: ToxicityModel | None):
         self.model, self.known = model, {}
 
-    def __call__(self, text: str) -> float:
+    def __call__(self, texts: list[str]) -> list[float]:
         if self.model is None:
-            return 0.0
+            return [0.0] * len(texts)
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        words = words_of(text)
-        scores = list(map(known.get, words))
-        if None in scores:
-            for k, s in enumerate(scores):
-                if s is None:
-                    if (w := words[k]) not in known:
-                        known[w] = self.model.word_score(w)
-                    scores[k] = known[w]
-        return self.model.probability(self.model.window_logits(np.array(scores)).max())
+        docs = [words_of(t) for t in texts]
+        unseen = [w for w in dict.fromkeys(chain.from_iterable(docs)) if w not in known]
+        known.update(zip(unseen, self.model.word_scores(unseen), strict=True))
+        scores = (np.fromiter(map(known.__getitem__, words), np.float64, len(words)) for words in docs)
+        return [self.model.probability(self.model.window_logits(s).max()) for s in scores]
 
 
 def score(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
@@ -266,8 +309,8 @@ def score(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
         for batch in batches:
-            for lo, hi in slices(batch.column("text")):
-                out = [scorer(text) for text in batch.column("text").slice(lo, hi - lo).to_pylist()]
+            for lo, hi in slices(batch.column("text"), GROUP_BYTES):
+                out = scorer(batch.column("text").slice(lo, hi - lo).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
     scored = id_and_text(docs).mapInArrow(run, "doc_id long, score double")
@@ -282,7 +325,10 @@ def accepted(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
         for batch in batches:
-            yield batch.filter(pa.array([scorer(t.as_py() or "") < THRESHOLD for t in batch.column(at)], pa.bool_()))
+            texts = batch.column(at).fill_null("")
+            for lo, hi in slices(texts, GROUP_BYTES):
+                kept = [s < THRESHOLD for s in scorer(texts.slice(lo, hi - lo).to_pylist())]
+                yield batch.slice(lo, hi - lo).filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

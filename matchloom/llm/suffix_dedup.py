@@ -121,9 +121,14 @@ def window_runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator
         yield from zip((base + starts).tolist(), (ends - starts).tolist(), (base + least[starts].astype(np.int64)).tolist(), strict=True)
 
 
+def _joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Two ranks (-1 for none) as one key of the same order."""
+    return (first + 1).astype(np.uint64) << np.uint64(32) | (second + 1).astype(np.uint64)
+
+
 def _ranks(*keys: np.ndarray) -> np.ndarray:
     """Dense ranks of rows of keys, the first key foremost."""
-    order = np.lexsort(keys[::-1])
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
     new = np.zeros(len(order), bool)
     for k in keys:
         s = k[order]
@@ -156,12 +161,12 @@ def repeated_suffixes(contexts: list[bytes], owned: np.ndarray, length: int = LE
     wanted = length - PERIOD
     steps = {depth: rank}
     while depth * 2 <= wanted:
-        rank = _ranks(rank, behind(rank, depth))
+        rank = _ranks(_joined(rank, behind(rank, depth)))
         depth *= 2
         steps[depth] = rank
     while depth < wanted:
         more = max(d for d in steps if d <= wanted - depth)
-        rank = _ranks(rank, behind(steps[more], depth))
+        rank = _ranks(_joined(rank, behind(steps[more], depth)))
         depth += more
     starts = np.cumsum([0] + [len(c) for c in contexts])[:-1]
     suffix = np.arange(int(owned.sum())) + np.repeat(starts - (np.cumsum(owned) - owned), owned)
@@ -188,7 +193,7 @@ def _sort_block(block: np.ndarray, suffix: np.ndarray, head: np.ndarray, rank: n
         own = np.flatnonzero(in_cover[(suffix + shift) % PERIOD])
         if len(own) < 2:
             continue
-        keys = (head[suffix[own]], rank[place[suffix[own] + shift]], tail[own])
+        keys = (_joined(head[suffix[own]], rank[place[suffix[own] + shift]]), tail[own])
         order = np.lexsort(keys[::-1])
         same = np.ones(len(own) - 1, bool)
         for k in keys:

@@ -42,7 +42,7 @@ TOKEN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 RATIO = 0.5
 SPAN = "struct<start:int,end:int,rank:int,kind:string>"
 #: Items of a block of a scan, and code points of a piece of text.
-BLOCK, PIECE = 64, 4096
+BLOCK, PIECE = 64, 512
 
 
 def _possible(text: Column, kind: str, pattern: str) -> Column:
@@ -53,13 +53,17 @@ def _possible(text: Column, kind: str, pattern: str) -> Column:
     return text.contains("AKIA") if kind == "access" else text.rlike(pattern)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _scan(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
     """All outputs (arrays of ``kind``) of ``step`` over the items in turn: (state, item) -> (next state, outputs).
 
     Outputs are gathered block by block, so that growing arrays stay short: the work is linear in the items for any real text.
     """
     none = F.expr(f"cast(array() as array<{kind}>)")
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
 
     def one(acc: Column, item: Column) -> Column:
         after, out = step(acc["state"], item)
@@ -67,10 +71,16 @@ def _scan(items: Column, state: Column, step: Callable[[Column, Column], tuple[C
 
     def block(acc: Column, own: Column) -> Column:
         inner = F.aggregate(own, F.struct(acc["state"].alias("state"), none.alias("out")), one)
-        return F.transform(F.array(inner), lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out")))[0]
+        return _let(inner, lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
 
     start = F.struct(state.alias("state"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("out"))
-    return F.when(F.size(items) > 0, F.aggregate(blocks, start, block, lambda acc: F.flatten(acc["out"]))).otherwise(none)
+
+    def scan(own: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(own) - 1) / BLOCK).cast("int"))
+        blocks = F.transform(numbers, lambda b: F.slice(own, b * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(F.size(own) > 0, F.aggregate(blocks, start, block, lambda acc: F.flatten(acc["out"]))).otherwise(none)
+
+    return _let(items, scan)
 
 
 def _pieces(text: Column) -> Column:
@@ -102,7 +112,8 @@ def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
         span = F.struct(start.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"))
         return end, F.when(item["measured"] >= least, F.array(span)).otherwise(none)
 
-    items = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(sizes)).alias("gap"), sizes.alias("size"), measured.alias("measured"))
+    items = F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), measured.alias("measured"))  # the last gap has no match: its size is null
+    items = F.filter(items, lambda x: x["size"].isNotNull())
     return F.when(_possible(text, kind, pattern), _scan(items, F.lit(0), step, SPAN)).otherwise(none)
 
 
@@ -179,7 +190,7 @@ def _left_over(token: Column, base: Column) -> Column:
         return F.greatest(at, b["end"]), F.when(b["start"] - at >= LEAST, F.array(part)).otherwise(none)
 
     touching = F.filter(base, lambda b: (b["start"] < token["end"]) & (token["start"] < b["end"]))
-    return F.when(F.size(touching) == 0, F.array(token)).otherwise(_scan(F.concat(touching, F.array(close)), token["start"], step, SPAN))
+    return _let(touching, lambda near: F.when(F.size(near) == 0, F.array(token)).otherwise(_scan(F.concat(near, F.array(close)), token["start"], step, SPAN)))
 
 
 def scan(docs: DataFrame, model: tuple[list[float], int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -511,6 +511,22 @@ def test_quality_ratio_and_threshold():
     assert quality.threshold(np.array([]), np.array([], bool)) == -np.inf
 
 
+def test_quality_learns_from_every_label(spark):
+    """More good and poor rows than any bound would take: each counts, and the cut of a table is that of an array."""
+    n = 6500
+    docs = spark.createDataFrame([(i, f"own{i} word word") for i in range(n)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(n)], "doc_id long, quality int, toxic int")
+    good = sum(i % 3 > 0 for i in range(n))
+    raw, *halves = quality.corpus_counts(docs, quality.labelled_ids(labels))
+    assert raw.sum() == 5 * n and sum(halves).sum() == 5 * good and halves[0].sum() == 5 * sum(i % 3 > 0 and quality.fold(i) == 0 for i in range(n))
+    r = random.Random(3)
+    rows = [(round(r.gauss(0.5 if g else -0.5, 0.35), 3), g) for g in (r.random() < 0.7 for _ in range(3000))] + [(-20.0, False), (12.0, True), (0.0, False)]
+    for part in (rows, rows[:1], [x for x in rows if x[1]], [x for x in rows if not x[1]], []):
+        want = quality.threshold(np.array([s for s, _ in part]), np.array([g for _, g in part], bool))
+        assert quality.best_cut(spark.createDataFrame(part, "score double, good boolean")) == want
+    assert quality.best_cut(spark.createDataFrame(rows, "score double, good boolean")) > -1
+
+
 # 8
 
 def test_byte_bpe(docs, empty):

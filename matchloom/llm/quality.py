@@ -113,6 +113,12 @@ def fold(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode()) & 1
 
 
+def marked(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(doc_id, text, good), good null where not labelled good. By a hash join of shuffled rows at every size: a broadcast
+    would grow with the labels, and a merge join would sort the texts."""
+    return id_and_text(docs).join(labelled.where("good = 1").hint("shuffle_hash"), "doc_id", "left")
+
+
 def corpus_counts(docs: DataFrame, labelled: DataFrame, bits: int = BUCKET_BITS) -> np.ndarray:
     """Bucket counts over every document, and over each half of the target's."""
 
@@ -133,8 +139,7 @@ def corpus_counts(docs: DataFrame, labelled: DataFrame, bits: int = BUCKET_BITS)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seen, *counts[:, seen])], names=["bucket", "raw", "good0", "good1"])
 
     names = ["raw", "good0", "good1"]
-    marked = id_and_text(docs).join(labelled.where("good = 1"), "doc_id", "left")
-    counted = marked.mapInArrow(run, "bucket long, raw long, good0 long, good1 long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
+    counted = marked(docs, labelled).mapInArrow(run, "bucket long, raw long, good0 long, good1 long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
     out = np.zeros((3, 1 << bits))
     for row in counted.collect():  # as many rows as buckets at most
         out[:, row["bucket"]] = [row[c] for c in names]

@@ -511,6 +511,23 @@ def test_quality_ratio_and_threshold():
     assert quality.threshold(np.array([]), np.array([], bool)) == -np.inf
 
 
+@pytest.mark.parametrize("limit", ["10m", "1"])
+def test_quality_marks_texts_alike_at_every_size(spark, limit):
+    docs = spark.createDataFrame([(1, "a b"), (1, "c"), (2, "d"), (3, "e"), (None, "f")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, limit)
+    try:
+        found = quality.marked(docs, quality.labelled_ids(labels))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = {(r["doc_id"], r["text"], r["good"]) for r in found.collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan and "SortMergeJoin" not in plan
+    assert rows == {(1, "a b", 1), (1, "c", 1), (2, "d", None), (3, "e", None), (None, "f", None)}
+
+
 def test_quality_learns_from_every_label(spark):
     """More good and poor rows than any bound would take: each counts, and the cut of a table is that of an array."""
     n = 6500

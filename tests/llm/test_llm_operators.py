@@ -261,6 +261,23 @@ def test_ids_equal_the_library(ids):
     assert [found[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [ids(t)[:-1] for t in odd]
 
 
+def test_chunk_cache_stays_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 600)
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 1 << 12)
+    enc = tokens.ChunkEncoder(tokens.default_path())
+    words = [f"{a}{b}{c}" for a in "abcdefgh" for b in "klmnopqr" for c in ("\u00e9", "tion", "x9", "sch")]
+    batches = [" ".join(f"{w}{t}" for w in words[k:k + 50] for t in ("", ".", ",", "?!")) + " " + "z" * 3000 + f"{k}" for k in range(0, len(words), 25)] * 2
+    for text in batches:
+        ids, at = enc.encode(pa.array([text]))
+        assert ids.tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids and at.tolist() == [0, len(ids)]
+        assert len(enc.cache) + len(enc.older) <= 600
+    kept = [*enc.cache, *enc.older]
+    assert max(map(len, kept)) <= tokens.LONG_CHUNK  # a long chunk is not held
+    assert not [c for c in kept if c[:-1].rstrip("?").isalpha() and c[-1] in ".,?!"]  # nor is a word once more with its tail
+
+
 def test_packed_output(docs, empty, ids):
     packed = token_output.packed_sequences(docs, capacity=512, window_tokens=3000)
     whole = collections.defaultdict(list)

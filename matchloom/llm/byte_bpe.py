@@ -3,8 +3,8 @@
 A byte string's merge-order encoding has one valid last token for each of its
 prefixes: the token T ending there whose left neighbour, the last token of the
 prefix before T, stays apart from T under the merge order. ``PrefixBPE`` keeps
-that last token for every prefix it has met, so strings that share a prefix
-share its work, appending bytes only adds prefixes, and an edit re-encodes
+the last tokens of prefixes it has met, at a few lengths with all before them,
+so strings that share a prefix share its work, appending bytes only adds prefixes, and an edit re-encodes
 only what lies behind it (``Encoding``).
 
 Two adjacent tokens stay apart if no merge crosses their border while both
@@ -30,10 +30,15 @@ from .tokens import slices
 
 #: White space in the splitting pattern's sense (Unicode White_Space).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Entries that each of a worker's tables may hold before it starts afresh, and bytes of the prefixes.
-TABLE_SIZE, TABLE_BYTES = 450_000, 64 << 20
-#: Bytes of a match, or characters of a chunk, above which it is encoded by a list of its own and not kept:
-#: its prefixes as keys would need the square of its length.
+#: Entries that each of a worker's tables may hold before it starts afresh (half for prefixes).
+TABLE_SIZE = 450_000
+#: Lengths of the prefixes that are kept, each with the last tokens of all before it.
+STOPS = (12, 8, 4)
+#: Chunks and pieces that a worker keeps, each in two halves of which the one not used of late goes.
+KEPT = 600_000
+#: Punctuation that is a match of its own behind a word.
+TAIL = ".,;:!?"
+#: Bytes of a match, or characters of a chunk, above which it is encoded by a list of its own and not kept.
 LONG = 256
 _codecs: dict[tuple[str, str], Codec] = {}
 
@@ -45,10 +50,32 @@ class PrefixBPE:
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.last: dict[bytes, int] = {}
-        self.held = 0  # bytes of the prefixes in last, at most
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.last: dict[bytes, tuple[int, tuple[int, ...]]] = {}  # prefix -> state, last tokens of it and its own prefixes
+        self.apart: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
+        self.edges: dict[tuple[int, bool], list[tuple[bytes, int, int]]] = {}
+        # An automaton over bytes: a state is the longest end of what was read that begins a token, with the tokens that end there.
+        self.begins = {t[:k] for t in ranks for k in range(len(t) + 1)}
+        self._restart()
+
+    def _restart(self) -> None:
+        self.last = {}
+        self.states, self.names = {b"": 0}, [b""]
+        self.ending: list[list[tuple[int, int]]] = [[]]  # by state: (size, token), longest first
+        self.go: dict[int, int] = {}
+
+    def _step(self, state: int, byte: int) -> int:
+        name = self.names[state] + bytes((byte,))
+        while name not in self.begins:
+            name = name[1:]
+        after = self.states.get(name)
+        if after is None:
+            after = self.states[name] = len(self.names)
+            self.names.append(name)
+            tokens = [(len(name) - k, self.ranks.get(name[k:])) for k in range(len(name))]
+            self.ending.append([(size, t) for size, t in tokens if t is not None and self.made_of(t) is not None])
+        self.go[state << 8 | byte] = after
+        return after
 
     def merge(self, data: bytes, below: int | None = None) -> list[int]:
         """Plain merging: the lowest rank first, leftmost first. With ``below``, only by lower ranks."""
@@ -73,53 +100,75 @@ class PrefixBPE:
 
     def stays_apart(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both gives just these two tokens."""
-        key = (left, right)
+        key = left << 32 | right
         known = self.apart.get(key)
         if known is None:
             known = self.apart[key] = self._border(left, right)
         return known
 
+    def _edge(self, token: int, right: bool) -> list[tuple[bytes, int, int]]:
+        """The tokens at a token's right or left edge: bytes, the rank of the merge that makes them (0: a byte) and of that which consumes them."""
+        known = self.edges.get((token, right))
+        if known is None:
+            known, gone = [], 1 << 60
+            while True:
+                data = self.tokens[token]
+                known.append((data, token if len(data) > 1 else 0, gone))
+                made = self.made_of(token)
+                if not made or made[right] == token:
+                    break
+                token, gone = made[right], token
+            self.edges[known[0][1] if len(known[0][0]) > 1 else token, right] = known
+        return known
+
     def _border(self, left: int, right: int) -> bool:
-        rights = [(left, 1 << 60)]  # tokens at the left side's right edge, with the rank of the merge that consumes them
-        while (made := self.made_of(rights[-1][0])) and made[1] != rights[-1][0]:
-            rights.append((made[1], rights[-1][0]))
-        lefts = [(right, 1 << 60)]
-        while (made := self.made_of(lefts[-1][0])) and made[0] != lefts[-1][0]:
-            lefts.append((made[0], lefts[-1][0]))
-        for x, x_gone in rights:
-            for y, y_gone in lefts:
-                rank = self.ranks.get(self.tokens[x] + self.tokens[y])
-                if rank is not None and max(rank, x if len(self.tokens[x]) > 1 else 0, y if len(self.tokens[y]) > 1 else 0) < x_gone and rank <= y_gone:
+        lefts = self._edge(right, False)
+        for x, x_made, x_gone in self._edge(left, True):
+            for y, y_made, y_gone in lefts:
+                rank = self.ranks.get(x + y)
+                if rank is not None and max(rank, x_made, y_made) < x_gone and rank <= y_gone:
                     return False
         return True
 
-    def extend(self, data: bytes, start: int) -> None:
-        """Fill the last tokens of the prefixes of ``data`` longer than ``start``."""
-        last, ranks = self.last, self.ranks
-        for end in range(start + 1, len(data) + 1):
-            prefix = data[:end]
-            if prefix in last:
-                continue
-            for size in range(min(end, self.longest), 0, -1):
-                token = ranks.get(prefix[end - size:])
-                if token is not None and self.made_of(token) is not None and (size == end or self.stays_apart(last[data[:end - size]], token)):
-                    last[prefix] = token
+    def extend(self, data: bytes) -> list[int]:
+        """The last tokens of all prefixes of ``data`` by length (0: none), from its longest prefix that is kept on."""
+        go, ending, apart = self.go, self.ending, self.apart
+        state, lasts = 0, [-1]
+        for stop in STOPS:
+            if len(data) >= stop and (known := self.last.get(data[:stop])):
+                state, lasts = known[0], list(known[1])
+                break
+        for end in range(len(lasts), len(data) + 1):
+            byte = data[end - 1]
+            after = go.get(state << 8 | byte)
+            state = self._step(state, byte) if after is None else after
+            for size, token in ending[state]:
+                if size == end:
+                    break
+                left = lasts[end - size]
+                alone = apart.get(left << 32 | token)
+                if self.stays_apart(left, token) if alone is None else alone:
                     break
+            lasts.append(token)
+            if end in STOPS:
+                self.last[data[:end]] = state, tuple(lasts)
+        return lasts
 
     def encode(self, data: bytes) -> list[int]:
         if data in self.ranks:  # a whole match that is a token is that token
             return [self.ranks[data]]
         if len(self.apart) > TABLE_SIZE:
             self.apart = {}
+        if len(self.go) > TABLE_SIZE:
+            self._restart()
         if len(data) > LONG:
             return Encoding(self, data).ids()
-        self.held += len(data) * (len(data) + 1) // 2
-        if len(self.last) > TABLE_SIZE or self.held > TABLE_BYTES:
-            self.last, self.held = {}, len(data) * (len(data) + 1) // 2
-        self.extend(data, 0)
+        if len(self.last) > TABLE_SIZE // 2:
+            self.last = {}
+        lasts = self.extend(data)
         out, end = [], len(data)
         while end:
-            token = self.last[data[:end]]
+            token = lasts[end]
             out.append(token)
             end -= len(self.tokens[token])
         return out[::-1]
@@ -172,14 +221,22 @@ class Codec:
         # white space and what follows are split apart on their own.
         self.chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.cache: dict[str, tuple[str, int, bytes]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: tuple[dict[str, tuple[str, int, bytes]], dict[str, tuple[int, ...]]] = {}, {}
 
     def ids(self, chunk: str) -> list[int]:
+        core = chunk.rstrip(TAIL)
+        if core.isalpha() or core[:1] == " " and core[1:].isalpha():
+            pieces = [core, chunk[len(core):]] if len(core) < len(chunk) else [core]
+        else:
+            pieces = self.matches(chunk)
         found = []
-        for piece in [chunk] if chunk.isalpha() or chunk[0] == " " and chunk[1:].isalpha() else self.matches(chunk):
+        for piece in pieces:
             known = self.pieces.get(piece)
             if known is None:
-                known = self.bpe.encode(piece.encode())
+                known = self.older[1].get(piece)
+                if known is None:
+                    known = tuple(self.bpe.encode(piece.encode()))  # the garbage collector passes tuples of numbers over
                 if len(piece) <= LONG:
                     self.pieces[piece] = known
             found += known
@@ -190,11 +247,11 @@ class Codec:
 
     def coded(self, text: str) -> list[tuple[str, int, bytes]]:
         """For each chunk: its ids in decimal, how many, and the bytes they decode to."""
-        cache = self.cache
-        if len(cache) > TABLE_SIZE:
-            cache.clear()
-        if len(self.pieces) > TABLE_SIZE:
-            self.pieces.clear()
+        if len(self.cache) > KEPT // 2:
+            self.cache, self.older = {}, (self.cache, self.older[1])
+        if len(self.pieces) > KEPT // 2:
+            self.pieces, self.older = {}, (self.older[0], self.pieces)
+        cache, older = self.cache, self.older[0]
         chunks = self.chunks(text)
         out = list(map(cache.get, chunks))
         if None in out:
@@ -202,8 +259,9 @@ class Codec:
                 if known is None:
                     chunk = chunks[k]
                     if (known := cache.get(chunk)) is None:
-                        ids = self.ids(chunk)
-                        known = (" ".join(map(str, ids)), len(ids), self.decode(ids))
+                        if (known := older.get(chunk)) is None:
+                            ids = self.ids(chunk)
+                            known = (" ".join(map(str, ids)), len(ids), self.decode(ids))
                         if len(chunk) <= LONG:
                             cache[chunk] = known
                     out[k] = known

@@ -590,6 +590,19 @@ def test_byte_bpe_tables_stay_small_on_long_runs():
     assert sum(map(len, codec.bpe.last)) + sum(map(len, [*codec.pieces, *codec.cache])) < 1 << 20
 
 
+def test_byte_bpe_keeps_few_prefixes_and_what_is_used(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "KEPT", 40)
+    codec = byte_bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.bpe.ranks, special_tokens={})
+    words = [f"{a}{b}schreltionquex" for a in "abcdefgh" for b in "aeiou\u00e9"]
+    for k in range(0, len(words), 4):
+        text = " ".join(f"{w}{t}" for w in [*words[k:k + 4], "ofteneverreadilyx"] for t in ("", "?!", ".x"))
+        assert codec.encode(text) == library.encode_ordinary(text)
+        assert b"".join(x[2] for x in codec.coded(text)) == text.encode()
+        assert " ofteneverreadilyx" in codec.cache or " ofteneverreadilyx" in codec.older[0]  # kept while in use
+    assert {len(p) for p in codec.bpe.last} <= set(byte_bpe.STOPS)
+
+
 def test_byte_bpe_appends_and_edits():
     codec = byte_bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     r = random.Random(3)

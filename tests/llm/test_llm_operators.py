@@ -261,6 +261,15 @@ def test_ids_equal_the_library(ids):
     assert [found[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [ids(t)[:-1] for t in odd]
 
 
+def test_word_lines_of_the_library(monkeypatch):
+    enc = tokens.ChunkEncoder(tokens.default_path())
+    words = [enc._plain(w) for w in ("a", "Thing", "\u00c9cole", "stra\u00dfe", "zzzzqqqq")] * 30
+    one = [np.array(enc.words.encode(w, add_special_tokens=False).ids, np.uint32).tobytes() for w in words]
+    assert enc._spelled(words) == one and enc._spelled([]) == []
+    enc.last[:] = False  # a vocabulary without the suffix
+    assert enc._spelled(words) == one
+
+
 def test_chunk_cache_stays_bounded(monkeypatch):
     import pyarrow as pa
 

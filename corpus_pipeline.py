@@ -19,7 +19,7 @@ from matchloom.llm.common import documents, materialize
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on the labelled ones among them, does not reject; rows of null ids and texts are judged like any other."""
-    model = toxicity.train(*toxicity.labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.accepted(docs, model)
 
 

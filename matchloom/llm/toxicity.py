@@ -5,7 +5,8 @@ words is the mean of its words' mean n-gram vectors, and a linear softmax over
 that mean gives the class. Embeddings and softmax are trained jointly in numpy
 on a bounded sample of labelled rows, at most ``MAX_WORDS`` words of each; a
 misspelling never seen shares most of its n-grams, and so their vectors, with
-words that were.
+words that were. Training is one executor task: the driver holds the model
+only, never the sample.
 
 A label speaks of a whole document while a few words may earn it. So a document
 counts by its highest window, both in training (the windows are chosen anew in
@@ -260,8 +261,8 @@ def excerpt(text: str, most: int = MAX_WORDS, block: int = BLOCK_WORDS) -> str:
     return " ".join(blocks[k] for k in sorted(chosen))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> tuple[list[str], list[int]]:
-    """Excerpts and labels of a bounded sample in hash order, never of rows whose crc32(doc_id) mod 3 is 1."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> DataFrame:
+    """(doc_id, text, label): excerpts of a bounded sample, the first of each class in hash order, never of rows whose crc32(doc_id) mod 3 is 1."""
     key = F.col("doc_id").cast("long")
     usable = labels.select(key.alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     usable = usable.groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -275,9 +276,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", ma
 
     # Rows that share a labelled id are one: the first by hash of the text, so that the bound holds.
     rows = id_and_text(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label").mapInArrow(cut, "doc_id long, text string, label int")
-    first = rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "label"), F.xxhash64("text")).alias("row")).select("doc_id", "row.text", "row.label").collect()
-    first.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
-    return [r["text"] for r in first], [r["label"] for r in first]
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "label"), F.xxhash64("text")).alias("row")).select("doc_id", "row.text", "row.label")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel | None:
+    """The model of the labelled sample, trained by one executor task; None where the labels hold one class only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample: list[tuple[int, str, int]] = []
+        for batch in batches:
+            sample += zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "label")], strict=True)
+        sample.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+        if model := train([text for _, text, _ in sample], [label for _, _, label in sample]):
+            row = {"evidence": model.evidence.astype("<f8").tobytes(), "bias": model.bias, "slope": model.slope, "shift": model.shift}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("evidence", pa.binary()), ("bias", pa.float64()), ("slope", pa.float64()), ("shift", pa.float64())]))
+
+    found = labelled_sample(docs, labels).repartition(1).mapInArrow(run, "evidence binary, bias double, slope double, shift double").collect()
+    return ToxicityModel(np.frombuffer(found[0]["evidence"], "<f8"), *found[0][1:]) if found else None
 
 
 def held_out(column: str = "doc_id"):
@@ -335,4 +350,4 @@ def accepted(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on the labelled rows of ``docs`` and score all of it."""
-    return score(docs, train(*labelled_sample(docs, labels)))
+    return score(docs, fit(docs, labels))

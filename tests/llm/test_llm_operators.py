@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -650,6 +651,23 @@ def test_toxicity_on_held_out_rows_and_unseen_misspellings(spark, docs, empty):
     assert toxicity.accepted(docs, None).columns == docs.columns
 
 
+def test_toxicity_trains_outside_the_driver(spark, monkeypatch):
+    r, driver, train = random.Random(9), os.getpid(), toxicity.train
+    texts = [" ".join(["vilzork"] * (i % 3 == 0) + [r.choice(WORDS) for _ in range(30)]) for i in range(300)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+
+    def elsewhere(texts, labels):
+        assert os.getpid() != driver
+        return train(texts, labels)
+
+    monkeypatch.setattr(toxicity, "train", elsewhere)
+    found = {x["doc_id"]: x["score"] for x in toxicity.classify(table, marks).collect()}
+    learnt = sorted((i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1), key=lambda i: zlib.crc32(str(i).encode()))
+    model = train([toxicity.excerpt(texts[i]) for i in learnt], [int(i % 3 == 0) for i in learnt])
+    assert found == dict(enumerate(toxicity._Scorer(model)(texts)))
+
+
 def test_toxicity_bags_equal_single_words():
     r = random.Random(13)
     words = ["", "a", "日本", "😀😀😀😀"] + ["".join(r.choice("abcéß東😀z_") for _ in range(r.randrange(1, 70))) for _ in range(300)]

@@ -126,13 +126,12 @@ def _joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return (first + 1).astype(np.uint64) << np.uint64(32) | (second + 1).astype(np.uint64)
 
 
-def _ranks(*keys: np.ndarray) -> np.ndarray:
-    """Dense ranks of rows of keys, the first key foremost."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """Dense ranks of a key."""
+    order = np.argsort(key)
+    s = key[order]
     new = np.zeros(len(order), bool)
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
+    new[1:] = s[1:] != s[:-1]
     out = np.empty(len(order), np.int64)
     out[order] = np.cumsum(new)
     return out
@@ -144,7 +143,8 @@ def repeated_suffixes(contexts: list[bytes], owned: np.ndarray, length: int = LE
     n = len(text) - 2 * length
     data = np.frombuffer(text, np.uint8)
     words = np.lib.stride_tricks.sliding_window_view(data[:n + length + 8], 8).copy().view(">u8").ravel()
-    head = _ranks(words[:n + length - PERIOD], words[8:n + length - PERIOD + 8])  # first 16 bytes at every position
+    half = _ranks(words[:n + length - PERIOD + 8])  # first 8 bytes at every position, then 16
+    head = _ranks(_joined(half[:-8], half[8:]))
     cover = difference_cover()
     in_cover = np.zeros(PERIOD, bool)
     in_cover[cover] = True
@@ -171,7 +171,7 @@ def repeated_suffixes(contexts: list[bytes], owned: np.ndarray, length: int = LE
     starts = np.cumsum([0] + [len(c) for c in contexts])[:-1]
     suffix = np.arange(int(owned.sum())) + np.repeat(starts - (np.cumsum(owned) - owned), owned)
     found = np.zeros(len(suffix), bool)
-    order = np.argsort(head[suffix], kind="stable")
+    order = np.argsort(head[suffix])
     lead = head[suffix[order]]
     at = 0
     while at < len(order):  # one block of suffixes at a time, cut where the leading bytes change
@@ -193,12 +193,19 @@ def _sort_block(block: np.ndarray, suffix: np.ndarray, head: np.ndarray, rank: n
         own = np.flatnonzero(in_cover[(suffix + shift) % PERIOD])
         if len(own) < 2:
             continue
-        keys = (_joined(head[suffix[own]], rank[place[suffix[own] + shift]]), tail[own])
-        order = np.lexsort(keys[::-1])
-        same = np.ones(len(own) - 1, bool)
-        for k in keys:
-            s = k[order]
-            same &= s[1:] == s[:-1]
+        key = _joined(head[suffix[own]], rank[place[suffix[own] + shift]])
+        order = np.argsort(key)
+        s = key[order]
+        same = s[1:] == s[:-1]
+        alike = np.zeros(len(own), bool)  # only suffixes that agree so far are told apart by their last bytes
+        alike[1:] = same
+        alike[:-1] |= same
+        own = own[order[alike]]
+        group = np.cumsum(np.concatenate([[True], ~same])[alike])
+        key = _joined(group, tail[own])
+        order = np.argsort(key)
+        s = key[order]
+        same = s[1:] == s[:-1]
         found[block[own[order[1:][same]]]] = True
         found[block[own[order[:-1][same]]]] = True
 
@@ -241,7 +248,8 @@ def _signed(x: int) -> int:
 
 
 def _longs(rows: list[tuple[int, ...]]) -> pa.RecordBatch:
-    columns = [pa.array(np.array([_signed(x) for x in c], np.int64)) for c in zip(*rows, strict=True)]
+    """The first three columns are signed, the hashes behind them are not."""
+    columns = [pa.array(np.array(c, np.int64 if k < 3 else np.uint64).view(np.int64)) for k, c in enumerate(zip(*rows, strict=True))]
     return pa.RecordBatch.from_arrays(columns, names=["id", "mark", "place", "kh", "ch"])
 
 
@@ -435,17 +443,19 @@ def covered_spans(texts: DataFrame, marks: DataFrame, length: int, least: int) -
 
 def removed_bytes(n: int, marks: list[dict] | None, length: int = LENGTH) -> np.ndarray:
     """Mask of the bytes that repeated windows cover."""
-    change = np.zeros(n + 1, np.int64)
+    at: list[int] = []
+    ends: list[int] = []
+    single = [np.zeros(0, np.int64)]
     for m in marks or ():
         start, size = _unpack(m["place"])
         if m["bits"] is None:
-            at = np.array([start])
-            ends = np.array([min(n, start + size + length - 1)])
+            at.append(start)
+            ends.append(min(n, start + size + length - 1))
         else:
-            at = start + np.flatnonzero(np.unpackbits(np.frombuffer(m["bits"], np.uint8)))
-            ends = np.minimum(n, at + length)
-        np.add.at(change, at, 1)
-        np.add.at(change, ends, -1)
+            single.append(start + np.flatnonzero(np.unpackbits(np.frombuffer(m["bits"], np.uint8))))
+    apart = np.concatenate(single)
+    change = np.bincount(np.concatenate([np.array(at, np.int64), apart]), minlength=n + 1)
+    change -= np.bincount(np.concatenate([np.array(ends, np.int64), np.minimum(n, apart + length)]), minlength=n + 1)
     return np.cumsum(change[:-1]) > 0
 
 

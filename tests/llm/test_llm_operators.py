@@ -651,6 +651,28 @@ def test_toxicity_on_held_out_rows_and_unseen_misspellings(spark, docs, empty):
     assert toxicity.accepted(docs, None).columns == docs.columns
 
 
+def test_suffix_dedup_sorts_single_keys_and_adds_marks_at_once(monkeypatch):
+    def slow(*args, **kwargs):
+        raise AssertionError("a sort by several keys")
+
+    monkeypatch.setattr(np, "lexsort", slow)
+    r = random.Random(4)
+    for _ in range(40):
+        base, length = bytes(r.choice(b"ab\0") for _ in range(240)), r.choice([32, 48])
+        contexts = [base[k:k + r.randrange(length, 120)] for k in (r.randrange(120) for _ in range(r.randrange(1, 9)))]
+        windows = [[c[k:k + length] for k in range(len(c) - length + 1)] for c in contexts]
+        count = collections.Counter(w for ws in windows for w in ws)
+        found = suffix_dedup.repeated_suffixes(contexts, np.array([len(ws) for ws in windows]), length)
+        assert [x.tolist() for x in found] == [[count[w] > 1 for w in ws] for ws in windows]
+        data, starts = b"".join(contexts), sorted(r.sample(range(40), 3))
+        bits = [bool(r.randrange(2)) for _ in range(9)]
+        marks = [{"place": s << 18 | 4, "bits": None} for s in starts] + [{"place": 50 << 18 | 8, "bits": np.packbits(bits).tobytes()}]
+        n = max(len(data), 60)
+        begun = {s + k for s in starts for k in range(5)} | {50 + k for k in range(9) if bits[k]}
+        assert suffix_dedup.removed_bytes(n, marks, length).tolist() == [any(b <= k < b + length for b in begun) for k in range(n)]
+    assert suffix_dedup.removed_bytes(0, None).tolist() == []
+
+
 def test_toxicity_trains_outside_the_driver(spark, monkeypatch):
     r, driver, train = random.Random(9), os.getpid(), toxicity.train
     texts = [" ".join(["vilzork"] * (i % 3 == 0) + [r.choice(WORDS) for _ in range(30)]) for i in range(300)]
